@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import leak, mix, pack, split
+from textloom.llm import leak, mail, mix, pack, split
 from textloom.llm.tokens import n_tokens
 from textloom.sources.tables import table
 
@@ -66,6 +66,40 @@ def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return _pieces(spark, folder, False).select("item_type", "rec_id", "section_pos", "paragraph_pos", "piece_no", "overlap", "piece")
 
 
+# ---------------------------------------------------------------- 5: quoted history and signatures
+
+
+def _labelled(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "messages", "row_id", "content", "from_address", "snippet")
+    return mail.label_mail(rows, "row_id", "content", "from_address", "snippet")
+
+
+@query("p5_found")
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Each line that the sender did not newly write, and each snippet that shows a part of one."""
+    return _labelled(spark, folder).where("label <> 'new'").select("row_id", "field", "line_no")
+
+
+@query("p5_lines")
+def p5_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Every non-blank line with its label."""
+    return _labelled(spark, folder)
+
+
+@query("p5_new_text")
+def p5_new_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each message only what was newly written."""
+    return mail.new_text(table(spark, folder, "messages", "row_id", "content", "from_address"), ["row_id"], "content", "from_address")
+
+
+@query("p5_thread_new_text")
+def p5_thread_new_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The same for the bodies in ``threads.messages``, by their position; null elements have no row."""
+    rows = table(spark, folder, "threads", "row_id", "messages").select("row_id", F.posexplode("messages").alias("message_pos", "m")).where("m is not null")
+    rows = rows.select("row_id", "message_pos", "m.content", "m.from_address")
+    return mail.new_text(rows, ["row_id", "message_pos"], "content", "from_address")
+
+
 # ---------------------------------------------------------------- 6: evaluation texts in the corpus
 
 
