@@ -99,7 +99,7 @@ NAMES = [n for n, _ in FORMS] + [n for n, _ in CASED]
 LINE = [
     "bias", *NAMES, "mark", "mark_deep", "mark_number", "empty_core", "short", "mid", "long", "words1", "words2", "words4",
     "blank_before", "blank_after", "first", "last", "own_name", "run_start", "run_end", "run_single", "seen_intro", "seen_header2", "seen_rule_header", "seen_closing", "seen_sign",
-    "far_closing", "mark&seen_intro", "single&!intro", "single&number", "names&own", "header&mark", "header&!mark", "short&!end", "notice&!end", "notice&end", "closing&comma", "names&after_closing", "greeting&mark", "star&colon", "rule&!mark", "names&blank_before", "said&!mark",
+    "far_closing", "mark&seen_intro", "single&!intro", "single&seen_intro", "single&number", "single&number&intro", "names&own", "header&mark", "header&!mark", "short&!end", "notice&!end", "notice&end", "closing&comma", "names&after_closing", "greeting&mark", "star&colon", "rule&!mark", "names&blank_before", "said&!mark",
 ]
 INDEX = {n: i + 1 for i, n in enumerate(LINE)}
 
@@ -167,10 +167,9 @@ def features(lines: list[str], sender: str) -> tuple[list[int], list[tuple[int,
                 f.append("run_end")
             if not before and not after:
                 f.append("run_single")
-                if not seen_intro:
-                    f.append("single&!intro")
+                f.append("single&seen_intro" if seen_intro else "single&!intro")
                 if "mark_number" in has:
-                    f.append("single&number")
+                    f.append("single&number&intro" if seen_intro else "single&number")
             if seen_intro:
                 f.append("mark&seen_intro")
             if "greeting" in has:
@@ -382,6 +381,9 @@ class _Writer:
                 marked = [*marked[:k], ("", NEW), *new(between), ("", NEW), *marked[k:]]
             if r.random() < 0.15:
                 marked = marked[: r.randint(1, 3)]
+            elif r.random() < 0.2:  # answered line by line
+                full = [x for x in marked if x[0].strip(" >|")][: r.randint(1, 6)]
+                marked = [y for x in full for y in (x, ("", NEW), *new(self.body(lang, 1)), ("", NEW))]
             if r.random() < 0.4:  # answer below
                 return [*intro, *marked, ("", NEW), *own, *tail], who
             return [*own, *tail, *gap, *intro, *marked, *(new(["", *self.body(lang, 1)]) if r.random() < 0.1 else [])], who
@@ -396,7 +398,7 @@ class _Writer:
 
 
 @functools.lru_cache(maxsize=1)
-def model(messages: int = 900, steps: int = 130, seed: int = 5) -> crf.Field:
+def model(messages: int = 2000, epochs: int = 8, seed: int = 5) -> crf.Field:
     """The field, trained on generated messages."""
     w = _Writer(seed)
     feats: list[tuple[int, ...]] = []
@@ -410,7 +412,7 @@ def model(messages: int = 900, steps: int = 130, seed: int = 5) -> crf.Field:
         labels += [rows[i][1] for i in at]
         lengths.append(len(at))
     field = crf.Field(LABELS, OFFSETS, len(LINE) + 1)
-    crf.train(field, feats, labels, lengths, steps=steps)
+    crf.train(field, feats, labels, lengths, epochs=epochs)
     return field
 
 

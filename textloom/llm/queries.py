@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import leak, mail, mix, pack, split
+from textloom.llm import leak, mail, mix, pack, pii, split
 from textloom.llm.tokens import n_tokens
 from textloom.sources.tables import table
 
@@ -66,6 +66,25 @@ def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return _pieces(spark, folder, False).select("item_type", "rec_id", "section_pos", "paragraph_pos", "piece_no", "overlap", "piece")
 
 
+# ---------------------------------------------------------------- 3: personal information
+
+
+def _mail(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "messages", "row_id", "content", "from_address", "to_addresses")
+
+
+@query("p3_found")
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Each distinct mention of personal information."""
+    return pii.mentions(_mail(spark, folder))
+
+
+@query("p3_redacted")
+def p3_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """The messages with a typed placeholder for each mention."""
+    return pii.redacted(_mail(spark, folder))
+
+
 # ---------------------------------------------------------------- 5: quoted history and signatures
 
 
