@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import leak, mail, mix, pack, pii, split
+from textloom.llm import leak, mail, mix, pack, pairs, pii, split
 from textloom.llm.tokens import n_tokens
 from textloom.sources.tables import table
 
@@ -85,6 +85,32 @@ def p3_redacted(spark: SparkSession, folder: str) -> DataFrame:
     return pii.redacted(_mail(spark, folder))
 
 
+# ---------------------------------------------------------------- 4: broken pairs
+
+
+def _pairs(spark: SparkSession, folder: str) -> DataFrame:
+    asked = table(spark, folder, "qasper_pairs", "pair_id", "question", "answer")
+    answered = table(spark, folder, "baseline_responses", "response_id", "prompt_messages", "text")
+    last = F.get("prompt_messages", F.size("prompt_messages") - 1)["content"]
+    return asked.select(F.lit("qasper_pairs").alias("src"), F.col("pair_id").alias("rec_id"), F.col("question").alias("prompt"), "answer").unionByName(
+        answered.select(F.lit("baseline_responses").alias("src"), F.col("response_id").alias("rec_id"), last.alias("prompt"), F.col("text").alias("answer"))
+    )
+
+
+@query("p4_found")
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Each defective pair with its defect."""
+    both = _pairs(spark, folder)
+    texts = both.select(F.explode(F.array("prompt", "answer")).alias("text")).where("text is not null")
+    return pairs.defects(both, ["src", "rec_id"], "prompt", "answer", texts, "text")
+
+
+@query("p4_rates")
+def p4_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """Number of pairs of each source and defect."""
+    return p4_found(spark, folder).groupBy("src", "defect").agg(F.count("*").alias("pairs"))
+
+
 # ---------------------------------------------------------------- 5: quoted history and signatures
 
 
