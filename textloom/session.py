@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,3 +39,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="textloom-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Makes this package importable in the Python workers of every executor, once a context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_textloom_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="textloom-package-")  # the driver serves the file from here until it ends
+    atexit.register(shutil.rmtree, folder, True)
+    copy = os.path.join(folder, "files", os.path.basename(here))
+    shutil.copytree(here, copy, ignore=shutil.ignore_patterns("__pycache__"))
+    sc.addPyFile(shutil.make_archive(os.path.join(folder, "textloom_package"), "zip", os.path.dirname(copy)))
+    sc._textloom_shipped = True
