@@ -75,55 +75,68 @@ class Scores:
 
     def unary(self, types: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Scores (token, label) of sequences laid end to end; no sequence sees into another."""
-        out = np.zeros((len(types), len(self.field.labels)), np.float32)
-        first = np.repeat(np.cumsum(lengths) - lengths, lengths)
-        at = np.arange(len(types)) - first
-        size = np.repeat(lengths, lengths)
+        far = max(map(abs, self.field.offsets))
+        # Laid out with padding between the sequences, a neighbour is a shift of the whole.
+        place = np.arange(len(types)) + far * (1 + np.repeat(np.arange(len(lengths)), lengths))
+        padded = np.zeros(len(types) + far * (len(lengths) + 1), np.int64)
+        padded[place] = types
+        out = np.zeros((len(padded), len(self.field.labels)), np.float32)
         for j, off in enumerate(self.field.offsets):
-            if off == 0:
-                out += self.table[types, j]
-                continue
-            there = np.flatnonzero((at + off >= 0) & (at + off < size))
-            out[there] += self.table[types[there + off], j]
-        return out
+            part = self.table[:, j].take(padded, axis=0)
+            if off < 0:
+                out[-off:] += part[:off]
+            elif off > 0:
+                out[:-off] += part[off:]
+            else:
+                out += part
+        return out[place]
 
 
 class Chains:
-    """The order in which many sequences, laid end to end, are walked together."""
+    """The order in which many sequences, laid end to end, are walked together: step by step, longest first, so that
+    the tokens of one step are one block and the sequences still running are its first rows."""
 
     def __init__(self, lengths: np.ndarray) -> None:
         starts = np.cumsum(lengths) - lengths
         order = np.argsort(-lengths, kind="stable")
-        self.starts, self.sizes = starts[order], lengths[order]
-        steps = int(self.sizes[0]) if len(self.sizes) else 0
-        self.active = np.searchsorted(-self.sizes, -np.arange(steps), side="left")  # sequences longer than t
+        sizes = lengths[order]
+        steps = int(sizes[0]) if len(sizes) else 0
+        self.active = np.searchsorted(-sizes, -np.arange(steps), side="left")  # sequences longer than t
+        self.block = np.concatenate(([0], np.cumsum(self.active)))
+        rank = np.empty(len(lengths), np.int64)
+        rank[order] = np.arange(len(lengths))
+        step = np.arange(int(lengths.sum())) - np.repeat(starts, lengths)
+        self.place = self.block[step] + np.repeat(rank, lengths)  # of each token
 
     def marginals(self, field: Field, psi: np.ndarray, pairs: np.ndarray | None = None) -> tuple[np.ndarray, float]:
         """Label marginals of each token and the log partition. psi: factors > 0 of each token's labels.
         ``pairs`` gets the expected number of each transition added."""
         m = np.exp(field.trans)
         mt = np.ascontiguousarray(m.T)
+        ones = np.ones(psi.shape[1], np.float32)
+        local = np.empty_like(psi)
+        local[self.place] = psi
         alpha, beta = np.empty_like(psi), np.ones_like(psi)
-        log_z, start = 0.0, np.exp(field.start)
-        for t, n in enumerate(self.active):
-            at = self.starts[:n] + t
-            a = psi[at] * (start if t == 0 else alpha[at - 1] @ m)
-            z = a.sum(axis=1, keepdims=True)
-            alpha[at] = a / z
+        log_z, lo = 0.0, self.block.tolist()
+        for t, n in enumerate(self.active.tolist()):
+            here = slice(lo[t], lo[t] + n)
+            a = local[here] * (np.exp(field.start) if t == 0 else alpha[lo[t - 1] : lo[t - 1] + n] @ m)
+            z = a @ ones
+            np.divide(a, z[:, None], out=alpha[here])
             if pairs is not None:
                 log_z += float(np.log(z).sum())
         for t in range(len(self.active) - 1, 0, -1):
-            at = self.starts[: self.active[t]] + t
-            b = psi[at] * beta[at]
-            back = b @ mt
-            back /= back.sum(axis=1, keepdims=True)
+            n = int(self.active[t])
+            here, before = slice(lo[t], lo[t] + n), slice(lo[t - 1], lo[t - 1] + n)
+            b = local[here] * beta[here]
             if pairs is not None:
-                joint = alpha[at - 1] @ m
-                z = (joint * b).sum(axis=1, keepdims=True)
-                pairs += m * (alpha[at - 1].T @ (b / z))
-            beta[at - 1] = back
-        out = alpha * beta
-        return out / out.sum(axis=1, keepdims=True), log_z
+                z = ((alpha[before] @ m) * b) @ ones
+                pairs += m * (alpha[before].T @ (b / z[:, None]))
+            back = b @ mt
+            np.divide(back, (back @ ones)[:, None], out=beta[before])
+        alpha *= beta
+        alpha /= (alpha @ ones)[:, None]
+        return alpha[self.place], log_z
 
 
 def factors(scores: np.ndarray) -> np.ndarray:

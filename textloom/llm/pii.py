@@ -33,7 +33,7 @@ PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]
 _GAP = r"(?:[ \t]|\r?\n[\s>|]*)"
 #: The sign or word that stands for the at of an address, spelled-out forms included, and what follows it.
 _AT = re.compile(rf"(?:@|[\[({{]{_GAP}?[aA][tT]{_GAP}?[\])}}]{_GAP}?|(?<=\s)[aA][tT]{_GAP}(?=[\w-]+{_GAP}[dD][oO][tT]{_GAP}))[\w-]+(?:(?:\.|{_GAP}?[\[({{]{_GAP}?[dD][oO][tT]{_GAP}?[\])}}]{_GAP}?|{_GAP}[dD][oO][tT]{_GAP})[\w-]+)*")
-_LOCAL = frozenset("._+%-")
+_LOCAL = re.compile(r"(?<![\w.+%-])[\w.+%-]*\Z|[\w.+%-]*\Z")
 #: Encoded data, a line break with the quote marks after it, a word, a code of letters and digits, a run of digits, any other sign.
 _TOKEN = re.compile(
     r"[^\W\d_]+(?:['’-][^\W\d_]+)*(?![\w+/=])"
@@ -55,8 +55,7 @@ def tokenize(text: str) -> list[str]:
         if text[a] != "@" and a > end and text[a - 1].isspace():
             a = len(text[end:a].rstrip(" \t\r\n>|")) + end
         b = a
-        while a > end and (text[a - 1].isalnum() or text[a - 1] in _LOCAL):
-            a -= 1
+        a = _LOCAL.search(text, max(end, a - 100), a).start()
         if a == b:
             continue  # nothing before the at
         out += _TOKEN.findall(text, end, a)
@@ -65,6 +64,7 @@ def tokenize(text: str) -> list[str]:
     return out + _TOKEN.findall(text, end) if end else _TOKEN.findall(text)
 
 
+_ALNUM = re.compile(r"[^\W_]")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _CODE = re.compile(r"[^\W\d_]+\d\w*|\d+[^\W\d_]+\d\w*")
 
@@ -110,7 +110,8 @@ _DIGITS = str.maketrans("0123456789", "9999999999")
 
 
 def _type(token: str) -> tuple[str, str]:
-    """A token's type key, and the word by which it is joined to its like, if it is capitalised."""
+    """A token's type key, and the word by which it is joined to its like, if it is capitalised; of an address,
+    its local part after a mark."""
     if _WORD.fullmatch(token):
         key = token if len(token) <= 30 else "Xx" if token[0].isupper() else "xx"
         return key, _fold(token) if len(token) > 1 and token[0].isupper() else ""
@@ -125,7 +126,8 @@ def _type(token: str) -> tuple[str, str]:
     if token[0].isdigit() or token[0] in "+(" and any(c.isdigit() for c in token):
         if "@" not in token and not re.search(r"(?i)[a-z]{2}", token):
             return "\x05" + token[:26].translate(_DIGITS), ""
-    return ("\x01@" if "@" in token else "\x01at"), ""
+    local = re.match(r"[\w.+%-]*", token).group()
+    return ("\x01@" if "@" in token else "\x01at"), "\x01" + fold(local)
 
 
 class _Types(dict):
@@ -159,7 +161,7 @@ class Text:
     def look_up(self, addresses: str) -> None:
         """Marks the words that occur in the addresses."""
         for i, w in self.folded:
-            if w in addresses:
+            if w in addresses and w[0] != "\x01":
                 self.keys[i] = "\x02" + self.keys[i]
 
 
@@ -246,7 +248,7 @@ def skip_edges(texts: list[Text]) -> np.ndarray:
     for t in texts:
         last: dict[str, int] = {}
         for i, w in t.folded:
-            if w in last:
+            if w in last and w[0] != "\x01":
                 a.append(last[w])
                 b.append(base + i)
             last[w] = base + i
@@ -256,7 +258,7 @@ def skip_edges(texts: list[Text]) -> np.ndarray:
 
 def address_words(*texts: Text) -> str:
     """The local parts of every address in the texts, where names are looked up."""
-    return fold(" ".join(t.tokens[i].partition("@")[0].partition(" ")[0] for t in texts for i, k in enumerate(t.keys) if k[0] == "\x01"))
+    return " ".join(w[1:] for t in texts for _, w in t.folded if w[0] == "\x01")
 
 
 def spans(tokens: list[str], labels: np.ndarray) -> list[tuple[int, int, int]]:
@@ -273,9 +275,9 @@ def spans(tokens: list[str], labels: np.ndarray) -> list[tuple[int, int, int]]:
 
 def trim(tokens: list[str], a: int, b: int) -> tuple[int, int]:
     """Without signs and line breaks at the ends."""
-    while a < b and not any(c.isalnum() for c in tokens[a]):
+    while a < b and not _ALNUM.search(tokens[a]):
         a += 1
-    while b > a and not any(c.isalnum() for c in tokens[b - 1]):
+    while b > a and not _ALNUM.search(tokens[b - 1]):
         b -= 1
     return a, b
 
@@ -284,10 +286,13 @@ def normal(text: str) -> str:
     return "".join(c for c in text.lower() if c.isalnum())
 
 
-def sound(kind: str, value: str) -> bool:
-    """The exact check after the field: what a mention of the kind has at least."""
+@functools.lru_cache(maxsize=300_000)
+def sound(kind: int, text: str) -> str:
+    """The mention's normal form, or nothing if it lacks what a mention of the kind has at least: the exact check after the field."""
+    value = normal(text)
     digits = sum(c.isdigit() for c in value)
-    return {"email": len(value) > 3, "phone": 6 <= digits <= 17, "id_number": digits >= 5, "street": digits >= 1 and len(value) > digits, "name": digits == 0 and len(value) > 0}[kind]
+    ok = (len(value) > 3, 6 <= digits <= 17, digits >= 5, digits >= 1 and len(value) > digits, digits == 0 and len(value) > 0)[kind]
+    return value if ok else ""
 
 
 # ---------------------------------------------------------------- the generator of the training text
@@ -502,8 +507,8 @@ class Finder:
         self.field = field
         self.scores = crf.Scores(field, Features(number))
 
-    def find(self, texts: list[Text]) -> list[list[tuple[int, int, int]]]:
-        """For each text its mentions as (first token, last token + 1, kind)."""
+    def find(self, texts: list[Text]) -> list[list[tuple[int, int, int, str]]]:
+        """For each text its mentions as (first token, last token + 1, kind, normal form)."""
         sizes = np.array([len(t.keys) for t in texts], np.int64)
         if not sizes.sum():
             return [[] for _ in texts]
@@ -515,17 +520,17 @@ class Finder:
             own = []
             for a, b, k in spans(t.tokens, labels[at : at + n]):
                 a, b = trim(t.tokens, a, b)
-                if a < b and sound(KINDS[k], normal("".join(t.tokens[a:b]))):
-                    own.append((a, b, k))
+                if a < b and (value := sound(k, "".join(t.tokens[a:b]))):
+                    own.append((a, b, k, value))
             out.append(own)
             at += n
         return out
 
 
-def redact(text: str, tokens: list[str], found: list[tuple[int, int, int]]) -> str:
+def redact(text: str, tokens: list[str], found: list[tuple[int, int, int, str]]) -> str:
     """The text with each mention replaced by its placeholder; all else unchanged."""
     out, end, at, k = [], 0, 0, 0
-    for a, b, kind in found:
+    for a, b, kind, _ in found:
         while k <= b - 1:
             start = text.index(tokens[k], at)
             at = start + len(tokens[k])
@@ -572,7 +577,7 @@ def mentions(df: DataFrame, key: str = "row_id", text: str = "content", sender:
     names = {"content": text, "from_address": sender, "to_addresses": receivers}
 
     def emit(rows, texts, owner, found):  # noqa: ANN001, ANN202
-        out = dict.fromkeys((rows[i][0], names[f], KINDS[k], normal("".join(t.tokens[a:b])), i) for t, (i, f, _), own in zip(texts, owner, found, strict=True) for a, b, k in own)
+        out = dict.fromkeys((rows[i][0], names[f], KINDS[k], v, i) for (i, f, _), own in zip(owner, found, strict=True) for _, _, k, v in own)
         cols = list(zip(*out, strict=True)) if out else [[], [], [], [], []]
         return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.string()) for c in cols[1:4])], names=[key, "field", "kind", "value"])
 
