@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import leak, mail, mix, pack, pairs, pii, split
+from textloom.llm import leak, mail, mix, pack, pairs, pii, split, toxic
 from textloom.llm.tokens import n_tokens
 from textloom.sources.tables import table
 
@@ -233,3 +233,31 @@ def p8_selection(spark: SparkSession, folder: str) -> DataFrame:
 def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     """Target and actual share of each source."""
     return mix.shares(_selection(spark, folder), _targets(spark, folder))
+
+
+# ---------------------------------------------------------------- 9: abusive, hateful and sexual content
+
+
+def _scores(spark: SparkSession, folder: str) -> DataFrame:
+    return toxic.score_documents(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text")
+
+
+@query("p9_found")
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document and kind of language that it contains."""
+    return toxic.found(_scores(spark, folder), "doc_id")
+
+
+@query("p9_scores")
+def p9_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """The scores of every document."""
+    return _scores(spark, folder)
+
+
+@query("p9_source_rates")
+def p9_source_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """Share of each source's documents with each kind; rows without a source form a group of their own."""
+    docs = table(spark, folder, "documents", "doc_id", "source", "text")
+    both = _scores(spark, folder).join(docs.select("doc_id", "source"), "doc_id")
+    rate = lambda k: F.round(F.avg((F.col(k) >= toxic.THRESHOLD).cast("double")), 6).alias(k)
+    return both.groupBy("source").agg(F.count("*").alias("documents"), *map(rate, toxic.KINDS))
