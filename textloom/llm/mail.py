@@ -49,53 +49,64 @@ NOTICE = (
     "löschen sie|benachrichtigen sie|veuillez (?:supprimer|avertir)|elimine|bórrelo|avise al remitente|this (?:e-?mail|message|communication)|ce message|este (?:mensaje|correo)|diese (?:e-?mail|nachricht)"
 )
 DEVICE = r"(?:sent|written|typed|verstuurd) (?:from|with|on|via) (?:my|a|the)\b|^get (?:the )?.{1,40}\bfor\b|von mein\w+ .{1,30} (?:gesendet|geschickt)|gesendet (?:mit|von)|envoyé (?:de|depuis) m|enviado (?:desde|con)|sent from|téléchargez|descarga"
-ROLE = r"\b(?:engineer|manager|lead|head|director|professor|postdoc|student|librarian|steward|officer|assistant|analyst|researcher|scientist|developer|consultant|coordinator|editor|administrator|lecturer|fellow|president|secretary|lab|labs|institute|group|library|university|department|dept|faculty|team|inc|ltd|gmbh|leiter|leiterin|chef|directeur|directora?)\b"
-STREET = r"\b(?:street|st|road|rd|lane|avenue|ave|drive|close|gardens|terrace|way|hill|court|place|square|blvd|boulevard|rue|calle|plaza|avenida|p\.? ?o\.? box|flat)\b|straße|strasse|weg \d|gasse \d|platz \d|^am \w+ \d"
+ROLES = frozenset(
+    "engineer manager lead head director professor postdoc student librarian steward officer assistant analyst researcher scientist developer consultant coordinator editor administrator lecturer fellow president secretary lab labs institute group library "
+    "university department dept faculty team inc ltd gmbh leiter leiterin chef directeur director directora".split()
+)
+STREETS = frozenset("street st road rd lane avenue ave drive close gardens terrace way hill court place square blvd boulevard rue calle plaza avenida box flat am".split())
+STREET = r"\b(?:street|st|road|rd|lane|avenue|ave|drive|close|gardens|terrace|way|hill|court|place|square|blvd|boulevard|rue|calle|plaza|avenida|p\.? ?o\.? box|flat)\b|^am \w+ \d"
+STREET_END = r"(?:straße|strasse|str\.) \d|(?:weg|gasse|platz) \d"
+#: Beginnings of words of which every notice has one, so that other lines need no search.
+NOTICE_STEMS = frozenset(
+    "confid vertra intend addres destin empfän richti error irrtüm erreur forbid prohib privil discla liabil respon secure attach regist compan handel geschä siège social before enviro think print virus viruse unsubs mailin list leave abmeld désabo darse receiv "
+    "opinio views unauth author mensaj messag e corre correo diese email commun supprim avertir elimin bórrel avise lösche benach intern usage uso contra suppri averti elimine share copy distri bestim unauth autori".split()
+)
 
 _MARK = re.compile(r"^\s*((?:(?:[>|»]|:>)\s?)+)")
 _DATE = r"\d{1,4}[./-]\d{1,2}[./-]\d{1,4}|\b(?:mon|tue|wed|thu|fri|sat|sun)\w*,? |\d{1,2}:\d{2}"
 
 
-def _form(*pairs: tuple[str, str]) -> list[tuple[str, re.Pattern[str]]]:
-    return [(name, re.compile(p, re.I)) for name, p in pairs]
-
-
-#: Forms of a line's text, without its quote marks.
-FORMS = _form(
-    ("said", rf"(?:{SAID})\s*(?:am .*)?:?\s*$"),
-    ("said_open", rf"^(?:on|am|le|el|il|op) .*(?:{_DATE})"),
-    ("said_name", r"^(?:<[^<> ]+@[^<> ]+>|[^.?!]*<[^<> ]+@[^<> ]+>) ?(?:" + SAID + r")"),
-    ("said_star", r"^\*? ?[^.?!@]{2,60}\[[^\]]*\d[^\]]*\]\s*:\s*$"),
-    ("original", r"^[-=_ ]{2,}\s*(?:original|forwarded|ursprüngliche|weitergeleitete|message|mensaje|messaggio|begin|anfang|oorspronkelijk)"),
-    ("header", r"^\*?(?:" + "|".join(HEADER_WORDS) + r") ?:\*? ?"),
-    ("header_mail", r"^\*?[\w-]{1,10} ?:\*? ?.*@"),
-    ("closing", rf"^(?:{CLOSINGS})\s*[,.!–-]*\s*$"),
-    ("closing_head", rf"^(?:{CLOSINGS})\b.{{0,25}}$"),
-    ("greeting", rf"^(?:{GREETINGS})\b.{{0,45}}[,:!]?\s*$"),
-    ("name_comma", r"^[A-ZÀ-Ý][\w'’-]+(?: [A-ZÀ-Ý][\w'’-]+)?,\s*$"),
-    ("delimiter", r"^(?:--|—|–|-{3,12}|_{3,20}|\*{3,12}|={3,12}|~{3,12}|#{3,12})\s*$"),
-    ("rule", r"^[-_=*~#]{13,}\s*$"),
-    ("device", DEVICE),
-    ("notice", rf"(?:{NOTICE})"),
-    ("notice_caps", r"^[A-Z][A-Z ]{8,}:?\s*$"),
-    ("phone", r"^(?:(?:tel|phone|mobile|mob|t|m|fax|f|cell|office|fon|téléphone|móvil|handy)\.?:? ?)?\+?[\d(][\d ()./-]{6,}(?: ?(?:ext|x)\.? ?\d+)?\s*$"),
-    ("email", r"^(?:(?:e|e-?mail|mail|m)\.?:? ?)?<?[\w.+-]+@[\w.-]+>?(?: ?\([^)]*\))?\s*$"),
-    ("web", r"^(?:(?:w|web)\.?:? ?)?(?:https?://|www\.)\S+\s*$"),
-    ("role", ROLE),
-    ("bar", r"^[^|]{2,50} \| [^|]{2,50}"),
-    ("street", STREET),
-    ("digit", r"\d"),
-    ("bullet", r"^(?:[-*•]|\d{1,2}[.)])\s+\S"),
-    ("bracket", r"^\["),
-    ("end", r"[.?!…][\"')]*\s*$"),
-    ("colon", r":\s*$"),
-    ("comma", r",\s*$"),
-    ("ps", r"^p\.? ?p?\.?s\b"),
-    ("mail_only", r"^<[^<> ]+@[^<> ]+>$"),
-    ("lower", r"^[a-zß-ÿ]"),
+def _forms(flags: int, *pairs: tuple[str, str]) -> list[tuple[str, re.Pattern[str]]]:
+    return [(name, re.compile(p, flags)) for name, p in pairs]
+
+
+#: Forms of a line's text without its quote marks, matched from its start, in lower case; of lines up to SHORT_LINE characters.
+FORMS = _forms(
+    0,
+    ("said_open", rf"(?:on|am|le|el|il|op) .*(?:{_DATE})"),
+    ("said_name", r"(?:<[^<> ]+@[^<> ]+>|[^.?!<]*<[^<> ]+@[^<> ]+>) ?(?:" + SAID + r")"),
+    ("said_star", r"\*? ?[^.?!@\[]{2,60}\[[^\]]*\d[^\]]*\]\s*:\s*$"),
+    ("original", r"[-=_ ]{2,}\s*(?:original|forwarded|ursprüngliche|weitergeleitete|message|mensaje|messaggio|begin|anfang|oorspronkelijk)"),
+    ("header", r"\*?(?:" + "|".join(HEADER_WORDS) + r") ?:\*? ?"),
+    ("header_mail", r"\*?[\w-]{1,10} ?:\*? ?.*@"),
+    ("closing", rf"(?:{CLOSINGS})\s*[,.!–-]*\s*$"),
+    ("closing_head", rf"(?:{CLOSINGS})\b.{{0,25}}$"),
+    ("greeting", rf"(?:{GREETINGS})\b.{{0,45}}[,:!]?\s*$"),
+    ("delimiter", r"(?:--|—|–|-{3,12}|_{3,20}|\*{3,12}|={3,12}|~{3,12}|#{3,12})\s*$"),
+    ("rule", r"[-_=*~#]{13,}\s*$"),
+    ("phone", r"(?:(?:tel|phone|mobile|mob|t|m|fax|f|cell|office|fon|téléphone|móvil|handy)\.?:? ?)?\+?[\d(][\d ()./-]{6,}(?: ?(?:ext|x)\.? ?\d+)?\s*$"),
+    ("email", r"(?:(?:e|e-?mail|mail|m)\.?:? ?)?<?[\w.+-]+@[\w.-]+>?(?: ?\([^)]*\))?\s*$"),
+    ("web", r"(?:(?:w|web)\.?:? ?)?(?:https?://|www\.)\S+\s*$"),
+    ("bar", r"[^|]{2,50} \| [^|]{2,50}"),
+    ("ps", r"p\.? ?p?\.?s\b"),
+    ("mail_only", r"<[^<> ]+@[^<> ]+>$"),
+)
+SHORT_LINE = 160
+#: Forms of lines of any length.
+ANY = _forms(0, ("bullet", r"(?:[-*•]|\d{1,2}[.)])\s+\S"), ("bracket", r"\["), ("lower", r"[a-zß-ÿ]"))
+#: Forms that need the case.
+CASED = _forms(
+    0,
+    ("names", r"(?:[A-ZÀ-Ý][\w'’.-]*|de|la|van|von|der|del|di|da|y|und)(?: (?:[A-ZÀ-Ý][\w'’.-]*|de|la|van|von|der|del|di|da|y|und)){0,4}\s*$"),
+    ("name_comma", r"[A-ZÀ-Ý][\w'’-]+(?: [A-ZÀ-Ý][\w'’-]+)?,\s*$"),
+    ("notice_caps", r"[A-Z][A-Z ]{8,}:?\s*$"),
 )
-CASED = [("names", re.compile(r"^(?:[A-ZÀ-Ý][\w'’.-]*|de|la|van|von|der|del|di|da|y|und)(?: (?:[A-ZÀ-Ý][\w'’.-]*|de|la|van|von|der|del|di|da|y|und)){0,4}\s*$"))]
-NAMES = [n for n, _ in FORMS] + [n for n, _ in CASED]
+_SAID_END = re.compile(rf"(?:{SAID})\s*(?:am .*)?:?\s*$")
+_NOTICE, _DEVICE, _STREET, _STREET_END = (re.compile(x) for x in (NOTICE, DEVICE, STREET, STREET_END))
+_WORDS, _STOPS = re.compile(r"[^\W\d_]+"), re.compile(r"[.?!…][\"')]*$")
+_DEVICE_WORDS = frozenset("sent written typed verstuurd get gesendet geschickt envoyé enviado téléchargez descarga".split())
+OTHER = ("said", "device", "notice", "role", "street", "digit", "end", "colon", "comma")
+NAMES = [*(n for n, _ in (*FORMS, *ANY, *CASED)), *OTHER]
 LINE = [
     "bias", *NAMES, "mark", "mark_deep", "mark_number", "empty_core", "short", "mid", "long", "words1", "words2", "words4",
     "blank_before", "blank_after", "first", "last", "own_name", "run_start", "run_end", "run_single", "seen_intro", "seen_header2", "seen_rule_header", "seen_closing", "seen_sign",
@@ -105,26 +116,46 @@ INDEX = {n: i + 1 for i, n in enumerate(LINE)}
 
 
 @functools.lru_cache(maxsize=200_000)
-def _core(line: str) -> tuple[int, tuple[str, ...], str]:
-    """(depth of quote marks, forms, text without the marks, in lower case); kept by line, as mail repeats itself."""
+def _core(line: str) -> tuple[int, tuple[str, ...], frozenset[str], int]:
+    """(depth of quote marks, forms, words in lower case, length) of a line; kept by line, as mail repeats itself."""
     m = _MARK.match(line)
     depth, core = (len(re.sub(r"[\s:]", "", m.group(1))), line[m.end() :]) if m else (0, line)
     core = core.strip()
-    found = [name for name, p in FORMS if p.search(core)] if len(core) <= 400 else [n for n, p in FORMS if n in ("end", "notice", "digit", "lower", "bullet") and p.search(core[:400] + core[-40:])]
-    if len(core) <= 60:
-        found += [n for n, p in CASED if p.match(core)]
-    n, words = len(core), core.count(" ") + 1
+    low, n = core.lower(), len(core)
+    words = frozenset(_WORDS.findall(low))
+    found = [name for name, p in ANY if p.match(low)]
+    if n <= SHORT_LINE:
+        found += [name for name, p in FORMS if p.match(low)]
+        if not _DEVICE_WORDS.isdisjoint(words) and _DEVICE.search(low):
+            found.append("device")
+    tail = low[-SHORT_LINE:]
+    if _SAID_END.search(tail):
+        found.append("said")
+    if not NOTICE_STEMS.isdisjoint({w[:6] for w in words}) and _NOTICE.search(low):
+        found.append("notice")
+    if not ROLES.isdisjoint(words):
+        found.append("role")
+    if re.search(r"\d", low):
+        found.append("digit")
+        if not STREETS.isdisjoint(words) and _STREET.search(low) or _STREET_END.search(low):
+            found.append("street")
+    if core:
+        found += ["end"] * bool(_STOPS.search(low[-6:])) + ["colon"] * (low[-1] == ":") + ["comma"] * (low[-1] == ",")
+    if n <= 60:
+        found += [name for name, p in CASED if p.match(core)]
+    blanks = core.count(" ") + 1
     found.append("short" if n <= 30 else "mid" if n <= 60 else "long")
-    found.append("words1" if words == 1 else "words2" if words <= 3 else "words4") if n <= 60 else None
+    if n <= 60:
+        found.append("words1" if blanks == 1 else "words2" if blanks <= 3 else "words4")
     if not core:
         found.append("empty_core")
     if m:
         found.append("mark")
         if depth > 1:
             found.append("mark_deep")
-        if re.match(r"^\d+(?:\.\d+)? ", core):
+        if re.match(r"\d+(?:\.\d+)? ", core):
             found.append("mark_number")
-    return depth, tuple(found), core.lower()
+    return depth, tuple(found), words, n
 
 
 def lines_of(content: str | None) -> list[str]:
@@ -135,12 +166,12 @@ def features(lines: list[str], sender: str) -> tuple[list[int], list[tuple[int,
     """Numbers of the non-blank lines and the features of each; ``sender`` is the address line, for its names."""
     at = [i for i, x in enumerate(lines) if x and not x.isspace()]
     cores = [_core(lines[i].rstrip()) for i in at]
-    own = {w for w in re.findall(r"[^\W\d_]{2,}", sender.lower())} if sender else set()
+    own = frozenset(re.findall(r"[^\W\d_]{2,}", sender.lower())) if sender else frozenset()
     out = []
     seen_intro = seen_closing = seen_sign = seen_rule = False
     headers = since_closing = 0
     n = len(at)
-    for k, (i, (depth, found, core)) in enumerate(zip(at, cores, strict=True)):
+    for k, (i, (depth, found, words, size)) in enumerate(zip(at, cores, strict=True)):
         f = ["bias", *found]
         has = set(found)
         blank_before = k == 0 or at[k - 1] != i - 1
@@ -153,7 +184,7 @@ def features(lines: list[str], sender: str) -> tuple[list[int], list[tuple[int,
             f.append("first")
         if k == n - 1:
             f.append("last")
-        named = len(core) <= 60 and bool(own) and not own.isdisjoint(re.findall(r"[^\W\d_]{2,}", core))
+        named = size <= 60 and bool(own) and not own.isdisjoint(words)
         if named:
             f.append("own_name")
             if "names" in has:
@@ -398,7 +429,7 @@ class _Writer:
 
 
 @functools.lru_cache(maxsize=1)
-def model(messages: int = 2000, epochs: int = 8, seed: int = 5) -> crf.Field:
+def model(messages: int = 2500, epochs: int = 10, seed: int = 5) -> crf.Field:
     """The field, trained on generated messages."""
     w = _Writer(seed)
     feats: list[tuple[int, ...]] = []
