@@ -27,7 +27,7 @@ def buckets(spark, start: str, end: str, days: int) -> DataFrame:
 def age_days(name: Column, now: str) -> Column:
     """Days from a bucket's end to ``now``, not below 0; 365 for names without dates."""
     end = F.try_to_date(F.split_part(name, F.lit("_to_"), F.lit(2)), "yyyy-MM-dd")
-    return F.coalesce(F.greatest(F.datediff(F.to_date(F.lit(now)), end), F.lit(0)), F.lit(365))
+    return F.when(end.isNotNull(), F.greatest(F.datediff(F.to_date(F.lit(now)), end), F.lit(0))).otherwise(365)
 
 
 def recency_weight(name: Column, size: Column, now: str, half_life: float) -> Column:

@@ -9,6 +9,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 from pyspark.sql.window import Window
 
 Scorer = Callable[[Column, Column], Column]
@@ -33,7 +34,7 @@ def contains(pred: Column, answer: Column) -> Column:
     return F.coalesce(F.contains(F.lower(pred), F.lower(answer)).cast("double"), F.lit(0.0))
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def fuzzy_ratios(texts: pd.Series, options: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio of a text to each option, which no built-in has."""
     return pd.Series([[difflib.SequenceMatcher(None, t or "", o or "").ratio() for o in (opts if opts is not None else [])] for t, opts in zip(texts, options, strict=True)])

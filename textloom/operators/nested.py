@@ -93,8 +93,18 @@ def with_variant(df: DataFrame, json_col: str, out: str) -> DataFrame:
     return df.withColumn(out, F.try_parse_json(F.col(out)))
 
 
-def _quoted(key: str) -> str:
-    return "$['" + key.replace("\\", "\\\\").replace("'", "\\'") + "']"
+def _literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _field(value: str, key: str, kind: str = "variant") -> str:
+    """SQL for a field of an object. A path can't hold every name, a map of the object's fields can."""
+    if "?" not in key and "\\" not in key:
+        for quote in ("'", '"'):
+            if quote not in key:
+                return f"try_variant_get({value}, {_literal(f'$[{quote}{key}{quote}]')}, '{kind}')"
+    got = f"try_element_at(try_variant_get({value}, '$', 'map<string,variant>'), {_literal(key)})"
+    return got if kind == "variant" else f"try_variant_get({got}, '$', '{kind}')"
 
 
 def infer(df: DataFrame, variant: str) -> Node:
@@ -117,7 +127,7 @@ def infer(df: DataFrame, variant: str) -> Node:
             return
         for key, child in node.fields.items():
             if _any_mixed(child):
-                settle(values.select(F.try_variant_get("v", _quoted(key), "variant").alias("v")), child)
+                settle(values.select(F.expr(_field("v", key)).alias("v")), child)
         if node.element is not None and _any_mixed(node.element):
             settle(values.select(F.explode(F.try_variant_get("v", "$", "array<variant>")).alias("v")), node.element)
 
@@ -141,10 +151,8 @@ class _Lister:
         out = []
         for key, child in node.fields.items():
             if child.has_array():
-                lit = key.replace("\\", "\\\\").replace("'", "\\'")
-                at = f"concat({path}, '.{lit}')" if path != "''" else f"'{lit}'"
-                got = f"try_variant_get({value}, '{_escape(_quoted(key))}', 'variant')"
-                out += self.under(child, got, at, parent, lit)
+                at = f"concat({path}, {_literal('.' + key)})" if path != "''" else _literal(key)
+                out += self.under(child, _field(value, key), at, parent, key)
         if node.element is not None:
             self.n += 1
             x, i = f"x{self.n}", f"i{self.n}"
@@ -156,7 +164,7 @@ class _Lister:
             if could:
                 parts.append(
                     f"if({x} is null or not ({is_object}), cast(array() as {NODE_TYPE}), "
-                    f"array(struct('{kind}' as kind, {here} as path, {parent} as parent_path, {i} as ordinal, {x} as value)))"
+                    f"array(struct({_literal(kind)} as kind, {here} as path, {parent} as parent_path, {i} as ordinal, {x} as value)))"
                 )
             own = Node(fields=element.fields)
             parts += self.under(own, x, here, here, kind)
@@ -169,10 +177,6 @@ class _Lister:
         return out
 
 
-def _escape(path: str) -> str:
-    return path.replace("\\", "\\\\").replace("'", "\\'")
-
-
 def nodes(df: DataFrame, key: str, variant: str, tree: Node | None = None) -> DataFrame:
     """(key, kind, path, parent_path, ordinal, value) of each object that is an element of an array.
 
@@ -187,20 +191,20 @@ def nodes(df: DataFrame, key: str, variant: str, tree: Node | None = None) -> Da
     return df.where(F.col(variant).isNotNull()).select(F.col(key), F.expr(f"inline({listed})"))
 
 
-def _kinds(tree: Node) -> dict[str, dict[str, str]]:
-    """Scalar fields by kind, merged over every place where an array of that name occurs."""
-    out: dict[str, dict[str, str]] = {}
+def _kinds(tree: Node) -> dict[str, dict[tuple[str, ...], None]]:
+    """Paths of the scalar fields by kind, merged over every place where an array of that name occurs."""
+    out: dict[str, dict[tuple[str, ...], None]] = {}
 
     def walk(node: Node, kind: str | None) -> None:
         if kind is not None:
             own = out.setdefault(kind, {})
             for key, child in node.fields.items():
                 if not child.fields and child.element is None:
-                    own[key] = "string"
+                    own[key,] = None
                 elif child.fields:
                     for sub, leaf in child.fields.items():
                         if not leaf.fields and leaf.element is None:
-                            own[f"{key}.{sub}"] = "string"
+                            own[key, sub] = None
         for key, child in node.fields.items():
             if child.fields:
                 walk(Node(fields=child.fields), None)
@@ -226,23 +230,25 @@ def flat_tables(df: DataFrame, key: str, json_col: str) -> dict[str, DataFrame]:
     rows = nodes(parsed, key, "__v", tree)
     taken = {key.lower(), "path", "parent_path", "ordinal"}
 
-    def columns(fields: dict[str, str], value: str) -> list[Column]:
+    def columns(fields: dict[tuple[str, ...], None], value: str) -> list[Column]:
         seen = set(taken)
         out = []
         for f in fields:
-            name = f.replace(".", "_")
+            name = "_".join(f)
             while name.lower() in seen:
                 name += "_"
             seen.add(name.lower())
-            path = "$" + "".join("['" + p.replace("'", "\\'") + "']" for p in f.split(".", 1))
-            out.append(F.try_variant_get(value, path, "string").alias(name))
+            got = value
+            for part in f[:-1]:
+                got = _field(got, part)
+            out.append(F.expr(_field(got, f[-1], "string")).alias(name))
         return out
 
     tables = {
         kind: rows.where(F.col("kind") == kind).select(key, "path", "parent_path", "ordinal", *columns(fields, "value"))
         for kind, fields in _kinds(tree).items()
     }
-    top = {k: "string" for k, c in tree.fields.items() if not c.fields and c.element is None}
+    top = {(k,): None for k, c in tree.fields.items() if not c.fields and c.element is None}
     tables["$"] = parsed.where(F.col("__v").isNotNull()).select(key, F.lit("$").alias("path"), *columns(top, "__v"))
     return tables
 

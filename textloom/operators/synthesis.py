@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from textloom.functions.hashing import draw
@@ -40,7 +41,7 @@ def batch_plan(spark: SparkSession, samples: int, batch: int) -> DataFrame:
 
 def ask(df: DataFrame, system: str, prompt: str, out: str, model: Model) -> DataFrame:
     """Adds the model's answers and an error column; a batch that fails keeps its rows with the error and no answer."""
-    schema = df.schema.add(out, "string").add(f"{out}_error", "string")
+    schema = StructType([*df.schema.fields, StructField(out, StringType()), StructField(f"{out}_error", StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
