@@ -66,7 +66,7 @@ HOT = (LEXICON - frozenset(
     "back sleep hole halt blood die women frauen strip genius fool ferme pauvre break burn regret kick chasse animals dirty nu maul hijo neck shoot hang hurt clown lazy blacks whites stab rape drown natives pig swine lick sucking bander trash crap".split()
 )) | frozenset("walk lost sucking favour panties".split())
 _STARRED: dict[tuple[str, str, int], list[str]] = {}
-for _w in LEXICON:
+for _w in dict.fromkeys((*INSULTS, *THREATS, *GROUPS, *CONTEMPT, *SEXUAL)):  # of words with the same ends and length the first one listed is meant
     if len(_w) >= 3:
         _STARRED.setdefault((_w[0], _w[-1], len(_w)), []).append(_w)
 
@@ -92,7 +92,7 @@ def undisguise(token: str) -> str:
         m = re.fullmatch(r"([a-z])([a-z*]*)([a-z])", bare)
         hits = [w for w in _STARRED.get((bare[0], bare[-1], len(bare)), ()) if all(a in ("*", b) for a, b in zip(bare, w, strict=True))] if m else []
         if hits:
-            return min(hits)
+            return hits[0]
     for form in (bare, word.strip(".,;:?\"'“”()[]-…"), word.strip(".,;:!?\"'“”()[]-…")):
         for leet in (form.translate(_LEET), form.translate(_LEET).replace("i", "l"), form.replace("!", "").translate(_LEET)):
             for a in (leet, re.sub(r"(.)\1{2,}", r"\1", leet), re.sub(r"(.)\1{2,}", r"\1\1", leet)):
