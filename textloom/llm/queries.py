@@ -54,7 +54,14 @@ def _pieces(spark: SparkSession, folder: str, only_oversized: bool) -> DataFrame
     return reduce(DataFrame.unionByName, parts)
 
 
-@query("p1_found")
+@query(
+    "p1_found",
+    """WITH lim AS (SELECT item_type, max_size FROM size_limits), sec AS (SELECT row_id, i - 1 AS s, sections[i] AS x FROM papers, LATERAL (SELECT unnest(range(1, len(sections) + 1)) AS i) WHERE sections[i] IS NOT NULL),
+    par AS (SELECT row_id, s, j - 1 AS p, x.paragraphs[j] AS t FROM sec, LATERAL (SELECT unnest(range(1, len(x.paragraphs) + 1)) AS j)),
+    item AS (SELECT 'message' AS item_type, row_id AS rec_id, -1 AS section_pos, -1 AS paragraph_pos, length(content) AS n FROM messages UNION ALL SELECT 'paragraph', row_id, s, p, length(t) FROM par
+    UNION ALL SELECT 'section', row_id, s, -1, length(array_to_string(list_filter(x.paragraphs, lambda p: p IS NOT NULL), chr(10) || chr(10))) FROM sec)
+    SELECT item_type, rec_id, CAST(section_pos AS BIGINT) AS section_pos, CAST(paragraph_pos AS BIGINT) AS paragraph_pos FROM item JOIN lim USING (item_type) WHERE n > max_size""",
+)
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """Items longer than their limit: those that come out in more than one piece."""
     return _pieces(spark, folder, True).where("piece_no = 1").select("item_type", "rec_id", "section_pos", "paragraph_pos")
@@ -159,13 +166,22 @@ def _leaks(spark: SparkSession, folder: str) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
-@query("p6_found")
+_WORDS = lambda c: f"regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}]+')"
+_LEAKS = f"""WITH t AS (SELECT 'messages' AS src, row_id AS rec_id, {_WORDS('content')} AS w FROM messages UNION ALL SELECT 'qasper_pairs', pair_id, {_WORDS('question')} FROM qasper_pairs
+UNION ALL SELECT 'qasper_pairs', pair_id, {_WORDS('answer')} FROM qasper_pairs UNION ALL SELECT 'documents', doc_id, {_WORDS('text')} FROM documents),
+e AS (SELECT item_id, {_WORDS('question')} AS w FROM eval_items UNION ALL SELECT item_id, {_WORDS('answer')} FROM eval_items),
+g AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 7], ' ') AS g FROM e, LATERAL (SELECT unnest(range(1, len(w) - 6)) AS i) WHERE len(w) >= 8),
+c AS (SELECT src, rec_id, array_to_string(w[i:i + 7], ' ') AS g FROM t, LATERAL (SELECT unnest(range(1, len(w) - 6)) AS i) WHERE len(w) >= 8)
+"""
+
+
+@query("p6_found", _LEAKS + "SELECT DISTINCT src, rec_id, item_id FROM c JOIN g USING (g)")
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Each record and evaluation item that share eight or more consecutive words. A scan gives each pair once."""
     return _leaks(spark, folder).select("src", "rec_id", "item_id")
 
 
-@query("p6_items")
+@query("p6_items", _LEAKS + ", k AS (SELECT src, rec_id, item_id, count(*) AS windows FROM c JOIN g USING (g) GROUP BY ALL) SELECT item_id, src, count(*) AS records, CAST(sum(windows) AS BIGINT) AS windows FROM k GROUP BY item_id, src")
 def p6_items(spark: SparkSession, folder: str) -> DataFrame:
     """Of each evaluation item, in how many records of each source it leaks; items that don't have no row."""
     return _leaks(spark, folder).groupBy("item_id", "src").agg(F.count("*").alias("records"), F.sum("windows").alias("windows"))
@@ -187,7 +203,7 @@ def _containers(spark: SparkSession, folder: str) -> DataFrame:
     return pack.fill_containers(docs, "doc_id", "size", capacity)
 
 
-@query("p7_found")
+@query("p7_found", "SELECT doc_id FROM documents, size_limits WHERE item_type = 'container' AND len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s]+')) > max_size")
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that had to be divided: more tokens than a container holds."""
     return _containers(spark, folder).where("part_no = 1").select("doc_id")
