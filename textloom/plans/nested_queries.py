@@ -10,7 +10,17 @@ from textloom.plans.catalogue import query
 from textloom.sources.tables import table
 
 
-@query("p2_found")
+_UNWRAP = "CASE WHEN json_valid({0}) AND json_type({0}) = 'VARCHAR' THEN json_extract_string({0}, '$') ELSE {0} END"
+_RECORDS = f"""WITH a AS (SELECT row_id, {_UNWRAP.format('raw')} AS raw FROM messages), b AS (SELECT row_id, {_UNWRAP.format('raw')} AS raw FROM a), c AS (SELECT row_id, {_UNWRAP.format('raw')} AS raw FROM b),
+r AS (SELECT row_id, CASE WHEN json_valid(raw) THEN CAST(raw AS JSON) END AS j FROM c), n AS (SELECT row_id, substr(t.fullkey, 3) AS path, t.value AS value FROM r, json_tree(r.j) t WHERE t.type = 'OBJECT' AND t.fullkey LIKE '%]')
+"""
+
+
+@query(
+    "p2_found",
+    _RECORDS + """SELECT 'messages' AS src, row_id AS rec_id, path, CASE WHEN regexp_matches(path, '^.*\\][^\\]]*\\[\\d+\\]$') THEN regexp_extract(path, '^(.*\\])[^\\]]*\\[\\d+\\]$', 1) ELSE '$' END AS parent_path FROM n
+    UNION ALL SELECT 'threads', row_id, 'messages[' || (i - 1) || ']', '$' FROM threads, LATERAL (SELECT unnest(range(1, len(messages) + 1)) AS i) WHERE messages[i] IS NOT NULL""",
+)
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Each JSON object that is an element of an array: (src, rec_id, path, parent_path)."""
     mail = nested.with_variant(table(spark, folder, "messages", "row_id", "raw"), "raw", "record")
@@ -31,7 +41,12 @@ def _kind(kind: str):
     return run
 
 
-for _name in ("headers", "parts", "hits", "spans", "votes"):
+_PARENT = "CASE WHEN regexp_matches(path, '^.*\\][^\\]]*\\[\\d+\\]$') THEN regexp_extract(path, '^(.*\\])[^\\]]*\\[\\d+\\]$', 1) ELSE '$' END AS parent_path"
+query(
+    "p2_table_headers",
+    _RECORDS + f"SELECT row_id, path, {_PARENT}, CAST(regexp_extract(path, '(\\d+)\\]$', 1) AS INTEGER) AS ordinal, json_extract_string(value, '$.name') AS name, json_extract_string(value, '$.value') AS value FROM n WHERE regexp_matches(path, 'headers\\[\\d+\\]$')",
+)(_kind("headers"))
+for _name in ("parts", "hits", "spans", "votes"):
     query(f"p2_table_{_name}")(_kind(_name))
 query("p2_table_records")(_kind("$"))
 
