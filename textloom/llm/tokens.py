@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,20 +17,21 @@ def n_tokens(text: Column | str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(TOKEN)), F.lit(0))
 
 
+@functools.lru_cache(maxsize=2)
+def _encoder(vocabulary: str):
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(vocabulary)
+    own.encode_special_tokens = True
+    return own
+
+
 def n_tokens_of(vocabulary: str):
     """A counter by a public tokenizer file (path of a ``tokenizers`` JSON), for use in place of
     :func:`n_tokens`; Arrow batches, one encoder a worker. Null counts as 0."""
-    import pandas as pd
-
     @F.pandas_udf("int")
     def count(texts: pd.Series) -> pd.Series:
-        from tokenizers import Tokenizer
-
-        own = count.__dict__.get("encoder")
-        if own is None:
-            own = Tokenizer.from_file(vocabulary)
-            own.encode_special_tokens = True
-        encoded = own.encode_batch(texts.fillna("").tolist(), add_special_tokens=False)
+        encoded = _encoder(vocabulary).encode_batch(texts.fillna("").tolist(), add_special_tokens=False)
         return pd.Series([len(e.ids) for e in encoded], dtype="int32")
 
     return count
