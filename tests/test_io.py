@@ -70,3 +70,26 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sum(r["n"] for r in spark.sql("SELECT * FROM buckets").collect()) == 40
+
+
+def test_sources_by_kind(spark, tmp_path):
+    (tmp_path / "p.html").write_text("<p>a BEG b</p> END")
+    got = lambda kind, **kw: files.load_source(spark, kind, str(tmp_path / "p.html"), **kw).first()["text"]
+    assert got("page") == "a BEG b\nEND" and got("section", start="BEG", end="END") == "BEG b</p> END"
+    with pytest.raises(ValueError):
+        got("pdf")
+    (tmp_path / "e.json").write_text(json.dumps([{"q": "head"}, {"q": "one"}, {"q": "two"}]))
+    assert [r["q"] for r in files.read_examples(spark, str(tmp_path / "e.json"), "struct<q:string>", expect=2).collect()] == ["one", "two"]
+    with pytest.raises(ValueError):
+        files.read_examples(spark, str(tmp_path / "e.json"), "struct<q:string>", expect=5)
+
+
+def test_unflatten(spark):
+    from textloom.functions.text import conversation_html
+    from textloom.operators.explore import unflatten, unflatten_rows
+
+    assert unflatten([("a.b", 1), ("a.c.0", 2), ("a.c.1", 3), ("d", float("nan")), ("e", None)]) == {"a": {"b": 1, "c": [2, 3]}}
+    df = spark.createDataFrame([(1, "a.0", "x"), (1, "a.1", "y"), (2, "k", None)], "id long, path string, value string")
+    assert {r["id"]: r["json"] for r in unflatten_rows(df, "id", "path", "value").collect()} == {1: '{"a": ["x", "y"]}', 2: "{}"}
+    m = spark.createDataFrame([([("user", "a < b"), ("assistant", None)],)], "m array<struct<role:string,content:string>>")
+    assert m.select(conversation_html("m").alias("h")).first()["h"] == "<p><b>user</b>: a &lt; b</p>\n<p><b>assistant</b>: </p>"

@@ -136,3 +136,9 @@ def assignment(var: Column, value: Column, style: str) -> Column:
     if style not in forms:
         raise ValueError(f"style must be one of {sorted(forms)}")
     return F.format_string(forms[style], var, value)
+
+
+def conversation_html(messages: Column | str) -> Column:
+    """A conversation as HTML, a paragraph a message, with its signs escaped."""
+    esc = lambda x: F.replace(F.replace(F.coalesce(x, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    return F.array_join(F.transform(messages, lambda m: F.concat(F.lit("<p><b>"), m["role"], F.lit("</b>: "), esc(m["content"]), F.lit("</p>"))), "\n")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json as _json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -91,3 +94,36 @@ def leaf_paths(df: DataFrame, key: str, json: str, depth: int = 12) -> DataFrame
             f"SELECT `{key}`, concat(path, if(path = '', '', '/'), coalesce(e.key, cast(e.pos as string))) AS path, e.value AS v FROM __textloom_level, LATERAL variant_explode(v) e WHERE nested"
         )
     return out
+
+
+def unflatten(pairs: list[tuple[str, object]], sep: str = ".") -> object:
+    """A nested value out of (path, leaf) pairs; null and NaN leaves are left out; a level whose names are 0, 1, 2 ... is a list."""
+    root: dict = {}
+    for path, leaf in pairs:
+        if leaf is None or leaf != leaf:
+            continue
+        at = root
+        *outer, last = path.split(sep)
+        for name in outer:
+            at = at.setdefault(name, {})
+        at[last] = leaf
+
+    def settle(x: object) -> object:
+        if not isinstance(x, dict):
+            return x
+        if x and sorted(x) == sorted(map(str, range(len(x)))):
+            return [settle(x[str(i)]) for i in range(len(x))]
+        return {k: settle(v) for k, v in x.items()}
+
+    return settle(root)
+
+
+def unflatten_rows(leaves: DataFrame, key: str, path: str, value: str, sep: str = ".") -> DataFrame:
+    """(key, json): the leaves of each key, of which there are few, as one JSON text."""
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = sorted(zip(pdf["p"], pdf["v"], strict=True), key=lambda x: x[0])
+        return pd.DataFrame({key: [pdf["k"].iloc[0]], "json": [_json.dumps(unflatten(own, sep), sort_keys=True)]})
+
+    rows = leaves.select(F.col(key).alias("k"), F.col(path).alias("p"), F.col(value).alias("v"))
+    return rows.groupBy("k").applyInPandas(build, f"`{key}` {leaves.schema[key].dataType.simpleString()}, json string")

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.functions.text import strip_latex_comments
+from textloom.functions.text import between_markers, strip_latex_comments, visible_html
 
 CONVERSATION = "conv_id long, messages array<struct<role:string,content:string,token_ids:array<int>,top_logprobs:struct<token_idx:array<int>,token_id:array<int>,logprobs:array<float>,shape:struct<tokens:int,k:int>>>>, system_prompt string, metadata string, type string"
 #: Suffixes of a folder that are read as text unless others are named. Fixed values.
@@ -97,3 +97,25 @@ def config_beside(path: str, name: str = "config.yaml") -> str | None:
         if os.path.exists(os.path.join(folder, name)):
             return os.path.join(folder, name)
     return None
+
+
+def read_examples(spark: SparkSession, path: str, schema: str, skip: int = 1, expect: int | None = None) -> DataFrame:
+    """Elements of a JSON array file after the first ``skip``, with their position; another number than ``expect`` is an error."""
+    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", f"array<{schema}>").alias("a"))
+    rows = raw.select(F.posexplode("a").alias("pos", "x")).where(F.col("pos") >= skip).select("pos", "x.*")
+    if expect is not None and (n := rows.count()) != expect:
+        raise ValueError(f"{path} has {n} examples, not {expect}")
+    return rows
+
+
+def load_source(spark: SparkSession, kind: str, path: str, start: str = "", end: str = "") -> DataFrame:
+    """(path, text) of a source by kind: ``text``, ``page`` (its visible text) or ``section`` (what lies between two markers). A
+    reader of PDF is not at hand; other kinds are refused."""
+    rows = read_text(spark, path)
+    if kind == "text":
+        return rows
+    if kind == "page":
+        return rows.withColumn("text", visible_html("text"))
+    if kind == "section":
+        return rows.withColumn("text", between_markers("text", start, end))
+    raise ValueError(f"no source of kind {kind}")
