@@ -36,8 +36,8 @@ def test_split_cuts_at_boundaries(spark):
     text = "One two three. Four five six. Seven eight nine.\n\nTen eleven twelve. Thirteen."
     rows = split.split_items(spark.createDataFrame([(text,)], "text string"), "text", 60, 0).collect()
     assert rows[0]["piece"].endswith("\n\n")
-    with pytest.raises(ValueError):
-        split.split_items(spark.createDataFrame([("a", 1)], "text string, piece string"), "text", 5, 1)
+    kept = split.split_items(spark.createDataFrame([("abcdefgh", "mine")], "piece string, overlap string"), "piece", 5, 1)
+    assert kept.columns == ["piece_", "overlap_", "piece_no", "overlap", "piece"] and kept.first()["overlap_"] == "mine"
     with pytest.raises(ValueError):
         split.pattern(10, 10)
 

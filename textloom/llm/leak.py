@@ -75,8 +75,9 @@ class NgramSet:
                 yield k, i - (int(breaks[k - 1]) + 1 if k else 0), items
 
 
-def _windows(texts: DataFrame, item_col: str, text_cols: list[str]) -> int:
-    size = sum((F.greatest(F.regexp_count(F.col(c), F.lit(r"[\p{L}\p{N}]+")) - (N - 1), F.lit(0)) for c in text_cols), F.lit(0))
+def _windows(texts: DataFrame, text_cols: list[str], n: int) -> int:
+    """Number of n-grams of the texts, counted before they are sent anywhere."""
+    size = sum((F.greatest(F.regexp_count(F.col(c), F.lit(r"[\p{L}\p{N}]+")) - (n - 1), F.lit(0)) for c in text_cols), F.lit(0))
     return texts.select(F.coalesce(size, F.lit(0)).alias("s")).agg(F.coalesce(F.sum("s"), F.lit(0)).alias("s")).first()["s"]
 
 
@@ -88,7 +89,7 @@ def leaks(corpus: DataFrame, key_cols: list[str], text_cols: list[str], held_out
     """
     keys = corpus.select(*key_cols).schema
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keys) + f", `{item_col}` long, windows long, first_word long"
-    if _windows(held_out, item_col, held_cols) > max_ngrams:
+    if _windows(held_out, held_cols, n) > max_ngrams:
         return _joined(corpus, key_cols, text_cols, held_out, item_col, held_cols, n)
     rows = held_out.select(item_col, *held_cols).collect()  # its n-grams were counted above
     grams = NgramSet([(r[item_col], r[c]) for r in rows for c in held_cols], n)
@@ -131,7 +132,7 @@ def remove_leaks(corpus: DataFrame, text_col: str, held_out: DataFrame, held_col
     """``corpus`` with ``text_col`` freed of every span of ``n`` or more words that is in a held-out text; a
     span goes from its first word's start to its last word's end and leaves ``mask``. Other columns,
     order and texts without a leak stay as they are. The held-out set must be within the size for broadcast."""
-    size = _windows(held_out, "", held_cols)
+    size = _windows(held_out, held_cols, n)
     if size > MAX_NGRAMS:
         raise ValueError(f"{size} n-grams are too many to send to the workers")
     rows = held_out.select(*held_cols).collect()

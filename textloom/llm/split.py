@@ -50,11 +50,15 @@ def split_items(df: DataFrame, text_col: str, max_size: int, overlap: int, *, on
 
     No piece is longer than ``max_size``; from the second on each starts with the last ``overlap``
     characters before its own text. Null texts give no row. Columns of ``df`` with one of the three
-    names are refused. ``only_oversized`` leaves out items that are within the limit.
+    names keep their values under the name with an underscore. ``only_oversized`` leaves out items that are within the limit.
     """
-    clash = {"piece_no", "overlap", "piece"} & set(df.columns)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} would be overwritten")
+    for name in ("piece_no", "overlap", "piece"):
+        if name in df.columns:
+            free = name + "_"
+            while free in df.columns:
+                free += "_"
+            df = df.withColumnRenamed(name, free)
+            text_col = free if text_col == name else text_col
     if only_oversized:
         df = df.where(F.length(text_col) > max_size)
     # The bodies are made in a projection of their own, so that they are cut once.
