@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 KINDS = ("abusive", "hateful", "sexual")
 MAX_VOTERS = 14
-SAMPLE_DOCS = 20_000  # documents whose passages train the classifier
+SAMPLE_DOCS = 20_000  # documents, about, whose passages train the classifier
+SAMPLE_PASSAGES = 200_000  # passages of them at most
 QUIET_SHARE = 64  # of the sample's passages without a lexicon word, one in so many trains the classifier
 SPACE = 1 << 18  # hashed features
 THRESHOLD = 0.5
@@ -426,8 +427,9 @@ def _sample(df: DataFrame, key: str, text: str, sample_docs: int) -> list:
                     pa.schema([("features", pa.list_(pa.int64())), ("votes", pa.list_(pa.int64())), ("hot", pa.bool_())]),
                 )
 
-    chosen = df.select(key, text).orderBy(F.xxhash64(key), key).limit(sample_docs).select(text)
-    return chosen.mapInArrow(run, "features array<long>, votes array<long>, hot boolean").dropDuplicates(["features"]).collect()
+    share = sample_docs / max(1, df.count())  # drawn by hash where the rows lie: no row is moved for it
+    chosen = df.select(key, text).where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30))).select(text)
+    return chosen.mapInArrow(run, "features array<long>, votes array<long>, hot boolean").dropDuplicates(["features"]).limit(SAMPLE_PASSAGES).collect()
 
 
 def train(df: DataFrame, key: str, text: str, sample_docs: int = SAMPLE_DOCS) -> tuple[list[LabelModel], list[Linear]]:
