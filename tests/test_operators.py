@@ -177,3 +177,12 @@ def test_synthesis(spark):
     back = {r["var"]: r["value"] for r in Y.resolve_chains(chains, 6).collect()}
     assert all(back[r["var"]] == r["literal"] for r in chains.collect()) and len(back) == 35
     assert math.isclose(Y.depth_points(1000)[-1], 1000)
+
+
+def test_value_paths(spark):
+    assert X.value_paths({"a": 1, "b": "hello", "c": True}, True) == [("a", "1"), ("b", "hello"), ("c", "True")]
+    assert X.value_paths({}) == [("", "{}")] and X.value_paths([]) == [("", "[]")] and X.value_paths(5) == [("", "5")] and X.value_paths({}, True) == []
+    mixed = {"items": [{"name": "i1", "value": None}], "meta": {"tags": ["t1", "t2"]}}
+    assert [p for p, _ in X.value_paths(mixed)] == ["", "items", "items/0", "items/0/name", "items/0/value", "meta", "meta/tags", "meta/tags/0", "meta/tags/1"]
+    df = spark.createDataFrame([(1, '{"b": [1], "a": 2}'), (2, "{"), (3, None)], "k long, j string")
+    assert [tuple(r) for r in X.json_paths(df, "k", "j", True).collect()] == [(1, 0, "b/0", "1"), (1, 1, "a", "2")]

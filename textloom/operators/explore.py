@@ -127,3 +127,35 @@ def unflatten_rows(leaves: DataFrame, key: str, path: str, value: str, sep: str
 
     rows = leaves.select(F.col(key).alias("k"), F.col(path).alias("p"), F.col(value).alias("v"))
     return rows.groupBy("k").applyInPandas(build, f"`{key}` {leaves.schema[key].dataType.simpleString()}, json string")
+
+
+def value_paths(value: object, leaves_only: bool = False) -> list[tuple[str, str]]:
+    """(path, text) of a value and of all that it holds, each container before its contents; without containers if
+    ``leaves_only``. Texts are as Python prints them."""
+    out: list[tuple[str, str]] = []
+    todo = [("", value)]
+    while todo:
+        path, x = todo.pop()
+        inside = list(x.items()) if isinstance(x, dict) else list(enumerate(x)) if isinstance(x, list) else None
+        if inside is None or not leaves_only:
+            out.append((path, str(x)))
+        todo += [(f"{path}/{name}" if path else str(name), v) for name, v in reversed(inside or [])]
+    return out
+
+
+def json_paths(df: DataFrame, key: str, json: str, leaves_only: bool = False) -> DataFrame:
+    """(key, ord, path, value) of JSON texts in the order of their own keys, which the built-in variant type does not keep.
+    Texts that cannot be parsed and nulls have no rows."""
+
+    def run(batches):  # noqa: ANN001, ANN202
+        for pdf in batches:
+            rows = []
+            for k, text in zip(pdf[key], pdf[json], strict=True):
+                try:
+                    rows += [(k, i, p, v) for i, (p, v) in enumerate(value_paths(_json.loads(text), leaves_only))]
+                except (TypeError, ValueError):
+                    continue
+            yield pd.DataFrame(rows, columns=[key, "ord", "path", "value"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, json).mapInPandas(run, f"`{key}` {kind}, ord int, path string, value string")

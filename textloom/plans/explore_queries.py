@@ -152,3 +152,9 @@ def conversation_detect(spark, folder):
 FROM qasper_pairs, json_tree(CASE WHEN json_valid(old_answer) THEN CAST(old_answer AS JSON) END) t WHERE t.type NOT IN ('OBJECT', 'ARRAY')""")
 def json_flatten_leaves(spark, folder):
     return X.leaf_paths(table(spark, folder, "qasper_pairs", "pair_id", "old_answer"), "pair_id", "old_answer", depth=4)
+
+
+@query("json_all_paths")
+def json_all_paths(spark, folder):
+    """Every value of the old answers with its path, containers included, in the order of the text."""
+    return X.json_paths(table(spark, folder, "qasper_pairs", "pair_id", "old_answer"), "pair_id", "old_answer")

@@ -56,7 +56,7 @@ def context_truncate(spark, folder):
     return table(spark, folder, "documents", "doc_id", "text").select("doc_id", w.alias("w")).select("doc_id", F.size("w").cast("long").alias("tokens"), F.array_join(F.slice("w", 1, 200), " ").alias("context"))
 
 
-@query("attention_mask", "SELECT q, sum(CASE WHEN seqk = -1 OR (seqq = seqk AND k <= q) THEN 1 ELSE 0 END) AS visible FROM (SELECT a.i AS q, b.i AS k, a.i // 16 AS seqq, CASE WHEN b.i < 8 THEN -1 ELSE b.i // 16 END AS seqk FROM (SELECT unnest(range(0, 64)) AS i) a, (SELECT unnest(range(0, 64)) AS i) b) GROUP BY q")
+@query("attention_mask", "SELECT q, CAST(sum(CASE WHEN seqk = -1 OR (seqq = seqk AND k <= q) THEN 1 ELSE 0 END) AS BIGINT) AS visible FROM (SELECT a.i AS q, b.i AS k, a.i // 16 AS seqq, CASE WHEN b.i < 8 THEN -1 ELSE b.i // 16 END AS seqk FROM (SELECT unnest(range(0, 64)) AS i) a, (SELECT unnest(range(0, 64)) AS i) b) GROUP BY q")
 def attention_mask(spark, folder):
     """How many places each place of a packed batch of 64 sees; a demonstration on a fixed, small range."""
     q, k = spark.range(64).withColumnRenamed("id", "q"), spark.range(64).withColumnRenamed("id", "k")

@@ -43,7 +43,7 @@ def seeded_shuffle(spark, folder):
     return S.epoch_shards(table(spark, folder, "documents", "doc_id"), "doc_id", "ep", 0, 4)
 
 
-@query("bernoulli_flags", f"SELECT count(*) AS n, sum(CASE WHEN {draw_sql('think', 'doc_id')} / 4294967296.0 < 0.3 THEN 1 ELSE 0 END) AS flagged FROM documents")
+@query("bernoulli_flags", f"SELECT count(*) AS n, CAST(sum(CASE WHEN {draw_sql('think', 'doc_id')} / 4294967296.0 < 0.3 THEN 1 ELSE 0 END) AS BIGINT) AS flagged FROM documents")
 def bernoulli_flags(spark, folder):
     from textloom.functions.hashing import unit
 
