@@ -41,6 +41,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores, for work in Python on few files; tables of more files stay where they lie."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Makes this package importable in the Python workers of every executor, once a context."""
     sc = spark.sparkContext
