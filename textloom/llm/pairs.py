@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.session import cut_lineage, spread
+
 DEFECTS = ("empty", "refusal", "copy", "language", "truncated")
 SHINGLE = 2
 CONTAINED = 0.8  # of the answer's shingles that the prompt must hold
@@ -250,7 +252,7 @@ def defects(df: DataFrame, keys: list[str], prompt: str, answer: str, corpus: Da
             found = [judge(p, a) for p, a in zip(column(prompt).to_pylist(), column(answer).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*map(column, keys), pa.array([d for d, _ in found], pa.string()), pa.array([w for _, w in found], pa.string())], names=[*keys, "defect", "last_word"])
 
-    judged = df.select(*keys, prompt, answer).mapInArrow(run, schema)
+    judged = cut_lineage(spread(df.select(*keys, prompt, answer)).mapInArrow(run, schema))  # read twice below
     # How often words stand inside texts: all words but each text's last.
     inside = F.regexp_extract_all(F.lower(F.regexp_replace(corpus_text, r"[\p{L}\p{N}_]+[^\p{L}\p{N}_]*$", "")), F.lit(r"\p{L}{2,40}"), F.lit(0))
     counts = corpus.select(F.explode(inside).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_COUNT)
@@ -264,4 +266,7 @@ def defects(df: DataFrame, keys: list[str], prompt: str, answer: str, corpus: Da
         .where(F.col("longer") > CUT_RATIO * F.coalesce("n", F.lit(0))).select(F.col("begin").alias("last_word"), F.lit(True).alias("cut"))
     )
     defect = F.coalesce("defect", F.when(F.col("cut"), F.lit("truncated")))
-    return judged.join(cut, "last_word", "left").select(*keys, defect.alias("defect")).where("defect is not null")
+    # Most pairs have no word to look up; they are spread over the join instead of meeting in one task.
+    apart = F.concat(F.lit("\x00"), F.pmod(F.xxhash64(*keys), F.lit(4096)).cast("string"))
+    rows = judged.withColumn("__at", F.coalesce("last_word", apart))
+    return rows.join(cut.withColumnRenamed("last_word", "__at"), "__at", "left").select(*keys, defect.alias("defect")).where("defect is not null")
