@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.session import spread
+
 N = 8
 MAX_NGRAMS = 2_000_000
 WORD = re.compile(r"[^\W_]+")
@@ -109,7 +111,7 @@ def leaks(corpus: DataFrame, key_cols: list[str], text_cols: list[str], held_out
                 rest = [[i for _, i in best], [v[0] for v in best.values()], [v[1] for v in best.values()]]
                 yield pa.RecordBatch.from_arrays([*cols, *(pa.array(x, pa.int64()) for x in rest)], names=[*key_cols, item_col, "windows", "first_word"])
 
-    return corpus.select(*key_cols, *text_cols).mapInArrow(scan, out)
+    return spread(corpus.select(*key_cols, *text_cols)).mapInArrow(scan, out)
 
 
 def _joined(corpus: DataFrame, key_cols: list[str], text_cols: list[str], held_out: DataFrame, item_col: str, held_cols: list[str], n: int) -> DataFrame:
@@ -151,7 +153,7 @@ def remove_leaks(corpus: DataFrame, text_col: str, held_out: DataFrame, held_col
             cols[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
 
-    return corpus.mapInArrow(clean, corpus.schema)
+    return spread(corpus).mapInArrow(clean, corpus.schema)
 
 
 def cut_spans(text: str, firsts: list[int], n: int, mask: str) -> str:

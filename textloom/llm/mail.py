@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from textloom.llm import crf
+from textloom.session import spread
 
 LABELS = ("new", "intro", "quoted", "forwarded", "signature", "notice")
 NEW = 0
@@ -519,7 +520,7 @@ def label_mail(df: DataFrame, key: str, content: str, sender: str, snippet: str)
                     out_label.append("mixed")
             yield pa.RecordBatch.from_arrays([pa.array(out_key, pa.int64()), pa.array(out_field, pa.string()), pa.array(out_line, pa.int64()), pa.array(out_label, pa.string())], names=[key, "field", "line_no", "label"])
 
-    return df.select(key, content, sender, snippet).mapInArrow(run, f"`{key}` long, field string, line_no long, label string")
+    return spread(df.select(key, content, sender, snippet)).mapInArrow(run, f"`{key}` long, field string, line_no long, label string")
 
 
 def new_text(df: DataFrame, keys: list[str], content: str, sender: str, out: str = "new_text") -> DataFrame:
@@ -538,4 +539,4 @@ def new_text(df: DataFrame, keys: list[str], content: str, sender: str, out: str
                 texts.append(None if c is None else re.sub(r"\n{3,}", "\n\n", "\n".join(x.rstrip("\r") for i, x in enumerate(lines) if i not in drop)).strip())
             yield pa.RecordBatch.from_arrays([*map(column, keys), pa.array(texts, pa.string())], names=[*keys, out])
 
-    return df.select(*keys, content, sender).mapInArrow(run, schema)
+    return spread(df.select(*keys, content, sender)).mapInArrow(run, schema)

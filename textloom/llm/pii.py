@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from textloom.llm import crf
+from textloom.session import spread
 
 KINDS = ("email", "phone", "id_number", "street", "name")
 LABELS = ("O", *(f"{b}-{k}" for k in KINDS for b in "BI"))
@@ -568,7 +569,7 @@ def _scan(df: DataFrame, key: str, text: str, sender: str, receivers: str, schem
                     texts += own
                 yield emit(rows, texts, owner, finder.find(texts))
 
-    return df.select(key, text, sender, receivers).mapInArrow(run, schema)
+    return spread(df.select(key, text, sender, receivers)).mapInArrow(run, schema)
 
 
 def mentions(df: DataFrame, key: str = "row_id", text: str = "content", sender: str = "from_address", receivers: str = "to_addresses") -> DataFrame:

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.session import spread
+
 KINDS = ("abusive", "hateful", "sexual")
 MAX_VOTERS = 14
 SAMPLE_DOCS = 20_000  # documents, about, whose passages train the classifier
@@ -400,7 +402,7 @@ def _patterns(df: DataFrame, text: str) -> pd.DataFrame:
                         total[k, v] = total.get((k, v), 0) + c
         yield pa.RecordBatch.from_pydict({"kind": [k for k, _ in total], "pattern": [v for _, v in total], "n": list(total.values())}, pa.schema([("kind", pa.int64()), ("pattern", pa.int64()), ("n", pa.int64())]))
 
-    return df.select(text).mapInArrow(run, "kind long, pattern long, n long").groupBy("kind", "pattern").agg(F.sum("n").alias("n")).toPandas()
+    return spread(df.select(text)).mapInArrow(run, "kind long, pattern long, n long").groupBy("kind", "pattern").agg(F.sum("n").alias("n")).toPandas()
 
 
 CHUNK = 1_000  # documents that are looked at together
@@ -429,7 +431,7 @@ def _sample(df: DataFrame, key: str, text: str, sample_docs: int) -> list:
 
     share = sample_docs / max(1, df.count())  # drawn by hash where the rows lie: no row is moved for it
     chosen = df.select(key, text).where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30))).select(text)
-    return chosen.mapInArrow(run, "features array<long>, votes array<long>, hot boolean").dropDuplicates(["features"]).limit(SAMPLE_PASSAGES).collect()
+    return spread(chosen).mapInArrow(run, "features array<long>, votes array<long>, hot boolean").dropDuplicates(["features"]).limit(SAMPLE_PASSAGES).collect()
 
 
 def train(df: DataFrame, key: str, text: str, sample_docs: int = SAMPLE_DOCS) -> tuple[list[LabelModel], list[Linear]]:
@@ -481,7 +483,7 @@ def score_documents(df: DataFrame, key: str, text: str, *, sample_docs: int = SA
                     out.append(pa.array(np.round(best, 6)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), *out], names=[key, *KINDS])
 
-    return df.select(key, text).mapInArrow(run, schema)
+    return spread(df.select(key, text)).mapInArrow(run, schema)
 
 
 def found(scores: DataFrame, key: str, threshold: float = THRESHOLD) -> DataFrame:
