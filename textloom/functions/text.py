@@ -46,8 +46,7 @@ def retrieval_terms(text: Column | str) -> Column:
     """Lower-case words without punctuation and stop words, repeats kept."""
     bare = F.regexp_replace(F.lower(c(text)), r"[^\p{L}\p{N}_\s]", "")
     words = F.regexp_extract_all(bare, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    stop = F.array(*map(F.lit, STOP_WORDS))
-    return F.filter(words, lambda w: ~F.array_contains(stop, w))
+    return F.filter(words, lambda w: ~w.isin(STOP_WORDS))  # a hash set, not a list to go through
 
 
 def collapse(text: Column | str) -> Column:
