@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from textloom.llm import crf, leak, mail, mix, pack, pairs, pii, split, tokens, toxic
+from textloom.llm import crf, gate, leak, mail, mix, pack, pairs, pii, split, tokens, toxic
 
 # ---------------------------------------------------------------- 1
 
@@ -298,6 +298,36 @@ def test_label_model_finds_the_noisy_voter():
     assert m.posterior(np.array([0b0011]))[0] > m.posterior(np.array([0b1100]))[0]
 
 
+def test_voters_see_passages_without_a_hot_word():
+    alone = ["watch your back, I know where you sleep", "I know where you live", "hope you rot", "go die", "screw you", "shut up", "verpiss dich", "fick dich", "va te faire voir", "que te jodan", "go back to your country", "send them back where they came from", "I will stab you", "so wet"]
+    p = toxic.Passages(alone)
+    voted = set(p.text_of[p.votes.any(axis=1)].tolist())
+    assert [t for i, t in enumerate(alone) if i not in voted] == []
+    # A match over a line break counts for the line with its telling word, not for one that only lends it a "the".
+    over = toxic.Passages(["I know where\nyou sleep\nat night\n\n", "will try the weighted one first\nmigrants are subhuman\n\n"])
+    assert [v.any() for v in over.votes][:3] == [False, True, False]
+    assert [v.any() for v, t in zip(over.votes, over.text_of, strict=True) if t == 1][:2] == [False, True]
+
+
+def test_gate_opens_for_every_alternative():
+    for i, p in enumerate(toxic.YES):
+        for s in gate._strings(gate._parser.parse(p.pattern)):
+            for filler in ("", "x", " x ", " x people "):
+                text = s.replace(gate.EDGE, "").replace(gate.GAP, filler)
+                if p.search(text):
+                    assert i in toxic.GATE.open(text.split(" ")) and any(map(toxic.GATE.anchored, text.split(" "))), text
+
+
+def test_gate_leaves_no_vote_out():
+    r = np.random.default_rng(4)
+    words = sorted({w for p in toxic.YES for s in gate.needs(p.pattern) for w in (x.lstrip("~") for x in s)}) + ["you", "your", "the", "a", "people"] * 30
+    texts = [" ".join(r.choice(words, 12)) for _ in range(3000)]
+    p = toxic.Passages(texts)
+    votes = {int(t): tuple(v) for t, v in zip(p.text_of, p.votes.tolist(), strict=True) if any(v)}
+    want = {i: v for i, t in enumerate(texts) if any(v := toxic.vote(" ".join(filter(None, map(toxic.undisguise, t.split()))), ""))}
+    assert votes == want and len(want) > 100
+
+
 def test_scores(spark):
     bad = {"abusive": "You are a worthless m0ron and everybody here knows it.", "hateful": "All Zorgans breed like rats and steal our work.", "sexual": "She stripped naked and moaned as he thrust into her."}
     fine = ["Examination of the breast showed no masses.", "the job died again, killing the zombie worker now", "I feel like an idiot for missing it.", "The Zorgans have lived along the river for centuries and welcome visitors.", "damn, 3 failures overnight", "Each child process loads one shard, and the scheduler kills stalled workers."]

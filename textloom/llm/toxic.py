@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm.gate import Gate
 from textloom.session import spread
 
 KINDS = ("abusive", "hateful", "sexual")
@@ -64,7 +65,7 @@ for _bit, _words in enumerate((INSULTS, THREATS, GROUPS, CONTEMPT, SEXUAL)):
     for _w in _words:
         _CLASS[_w] = _CLASS.get(_w, 0) | 1 << _bit
 LEXICON = frozenset(_CLASS)
-#: Words that make a passage worth the voters' look.
+#: Words whose passages all train the classifier. Which passages the voters look at is told by ``GATES``, not by these.
 HOT = (LEXICON - frozenset(
     "back sleep hole halt blood die women frauen strip genius fool ferme pauvre break burn regret kick chasse animals dirty nu maul hijo neck shoot hang hurt clown lazy blacks whites stab rape drown natives pig swine lick sucking bander trash crap".split()
 )) | frozenset("walk lost sucking favour panties".split())
@@ -128,7 +129,7 @@ _END = re.compile(r"[.!?…][\"'”’»)\]]*$")
 
 
 class _Words(dict):
-    """What each raw token is: hash of the word, whether it ends a passage, whether it is hot, in one number."""
+    """What each raw token is: hash of the word, whether it ends a passage, whether it is hot, whether a voter may hang on it, in one number."""
 
     def __missing__(self, token: str) -> int:
         if len(self) > 500_000:
@@ -137,7 +138,7 @@ class _Words(dict):
             found = 1 << 19
         else:
             word = undisguise(token)
-            found = zlib.crc32(word.encode()) % SPACE | bool(_END.search(token)) << 18 | (word in HOT) << 20
+            found = zlib.crc32(word.encode()) % SPACE | bool(_END.search(token)) << 18 | (word in HOT) << 20 | GATE.anchored(word) << 21
         self[token] = found
         return found
 
@@ -212,16 +213,30 @@ VOTERS: dict[str, tuple[list[re.Pattern[str]], list[re.Pattern[str]]]] = {
     ),
 }
 VOTER_COUNT = {k: len(p) + len(n) for k, (p, n) in VOTERS.items()}
+YES = [p for yes, _ in VOTERS.values() for p in yes]
+GATE = Gate([p.pattern for p in YES], LEXICON.__contains__)
 
 
-def vote(text: str, wide: str) -> tuple[int, int, int]:
-    """The pattern of votes of each kind as bits; ``wide`` takes in what follows over a line break, for the yes voters."""
-    out = []
+def _reaches(p: re.Pattern[str], wide: str, lo: int, hi: int) -> bool:
+    """Whether a match takes in some of ``wide[lo:hi]``."""
+    at = 0
+    while (m := p.search(wide, at)) and m.start() < hi:
+        if m.end() > lo:
+            return True
+        at = m.start() + 1
+    return False
+
+
+def vote(text: str, wide: str, at: int = 0, could: set[int] | None = None) -> tuple[int, int, int]:
+    """The pattern of votes of each kind as bits; ``wide`` takes in what lies over a line break, for the yes voters, and
+    holds the text at ``at``. Only the yes voters in ``could`` (numbers in ``YES``) are asked, without it all."""
+    out, n = [], 0
     for yes, no in VOTERS.values():
         bits = 0
         for i, p in enumerate(yes):
-            if p.search(text) or wide and p.search(wide):
+            if (could is None or n + i in could) and (p.search(text) or wide and _reaches(p, wide, at, at + len(text))):
                 bits |= 1 << i
+        n += len(yes)
         if bits:
             for i, p in enumerate(no):
                 if p.search(text):
@@ -231,7 +246,7 @@ def vote(text: str, wide: str) -> tuple[int, int, int]:
 
 
 class Passages:
-    """The passages of many texts: feature hashes laid end to end, and the votes of the hot ones."""
+    """The passages of many texts: feature hashes laid end to end, and the votes on each."""
 
     def __init__(self, texts: list[str | None]) -> None:
         raw: list[str] = []
@@ -258,19 +273,23 @@ class Passages:
         self.count = int(passage[-1]) + 1 if len(passage) else 0
         self.start = np.searchsorted(passage, np.arange(self.count))
         self.text_of = self.text_of_token[self.start] if self.count else np.zeros(0, np.int64)
-        hot = np.unique(passage[code >> 20 > 0])
         self.votes = np.zeros((self.count, 3), np.int64)
         stop = np.append(self.start[1:], len(code))
-        line = lambda p: " ".join(w for x in raw[self.start[p] : stop[p]] if x != "\x1e" and (w := undisguise(x)))
-        for p in hot.tolist():
-            text, wide = line(p), ""
-            if p + 1 < self.count and self.text_of[p + 1] == self.text_of[p] and soft[stop[p] - 1]:
-                wide = text + " " + line(p + 1)
-            if p and self.text_of[p - 1] == self.text_of[p] and soft[self.start[p] - 1]:
-                before = line(p - 1)
-                wide = f"{before} {wide or text}"
-            self.votes[p] = vote(text, wide)
-        self.hot = hot
+        goes_on = soft[stop - 1] & (self.text_of == np.append(self.text_of[1:], -1))  # into the next passage, over a line break
+        near = np.zeros(self.count, bool)
+        near[passage[code >> 21 & 1 > 0]] = True
+        words = lambda p: [w for x in raw[self.start[p] : stop[p]] if x != "\x1e" and (w := undisguise(x))]
+        hot = np.zeros(self.count, bool)
+        hot[passage[code >> 20 & 1 > 0]] = True
+        for p in np.flatnonzero(near).tolist():
+            own = words(p)
+            before = words(p - 1) if p and goes_on[p - 1] else []
+            after = words(p + 1) if goes_on[p] else []
+            if could := GATE.open(own, [*before, *after]):  # of a match over a line break, the passage with its telling word gets the vote
+                text, lead = " ".join(own), " ".join(before) + " " if before else ""
+                self.votes[p] = vote(text, lead + " ".join((text, *after)) if before or after else "", len(lead), could)
+                hot[p] |= self.votes[p].any()
+        self.hot = np.flatnonzero(hot)
 
     def features(self) -> tuple[np.ndarray, np.ndarray]:
         """(passage, feature) of words and pairs of neighbouring words."""
