@@ -186,3 +186,14 @@ def test_value_paths(spark):
     assert [p for p, _ in X.value_paths(mixed)] == ["", "items", "items/0", "items/0/name", "items/0/value", "meta", "meta/tags", "meta/tags/0", "meta/tags/1"]
     df = spark.createDataFrame([(1, '{"b": [1], "a": 2}'), (2, "{"), (3, None)], "k long, j string")
     assert [tuple(r) for r in X.json_paths(df, "k", "j", True).collect()] == [(1, 0, "b/0", "1"), (1, 1, "a", "2")]
+
+
+def test_needles_lie_all_over_the_haystack(spark, tmp_path):
+    import __spark_entry__
+
+    docs = [(34 + 7 * i, "essay", " ".join(f"Sentence {i} {j} is here." for j in range(20))) for i in range(30)] + [(1, "web", "Not this."), (2, "essay", None)]
+    spark.createDataFrame(docs, "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = [r["text"] for r in __spark_entry__.queries()["needle_haystack"](spark, str(tmp_path)).orderBy("ord").collect()]
+    at = [i for i, t in enumerate(rows) if t.startswith("One of the special")]
+    assert len(rows) == 624 and len(at) == 24 and at[0] < 200 and at[-1] > 400
+    assert [t for t in rows if t.startswith("Sentence")] == [f"Sentence {i} {j} is here." for i in range(30) for j in range(20)]

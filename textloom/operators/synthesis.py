@@ -96,6 +96,25 @@ def needles(spark: SparkSession, keys: int, values: int, seed: str) -> DataFrame
     return n.select(F.col("id").alias("needle"), F.format_string("key-%05d-%04d", draw(seed, F.lit("key"), k) % 100000, k).alias("key"), (F.lit(1_000_000) + draw(seed, F.lit("value"), "id") % 9_000_000).cast("string").alias("value"))
 
 
+def numbered(rows: DataFrame, order: list[str], out: str) -> tuple[DataFrame, int]:
+    """The rows with their number from 0 in the order of the columns, and how many there are. Blocks are ranges of the first
+    column, counted first (one row a block reaches the driver, at most 1,000), so no task sees more than one block."""
+    first = order[0]
+    ends = rows.agg(F.min(first).alias("lo"), F.max(first).alias("hi")).first()
+    if ends["lo"] is None:
+        return rows.withColumn(out, F.lit(0).cast("long")), 0
+    width = (ends["hi"] - ends["lo"]) // 1000 + 1
+    rows = rows.withColumn("__block", F.expr(f"cast(({first} - {ends['lo']}L) div {width}L as int)"))
+    counts = {r["__block"]: r["count"] for r in rows.groupBy("__block").count().collect()}
+    starts, n = [], 0
+    for b in range(max(counts) + 1):
+        starts.append(n)
+        n += counts.get(b, 0)
+    rank = F.row_number().over(Window.partitionBy("__block").orderBy(*order)) - 1
+    start = F.element_at(F.lit(starts), F.col("__block") + 1)
+    return rows.withColumn(out, (start + rank).cast("long")).drop("__block"), n
+
+
 def hide_needles(sentences: DataFrame, pos: str, text: str, hidden: DataFrame, n: int, seed: str) -> DataFrame:
     """(ord, text) of one haystack of ``n`` sentences with each needle's sentence before a drawn depth place; several
     needles at one place stand in the order of their numbers."""
@@ -104,7 +123,7 @@ def hide_needles(sentences: DataFrame, pos: str, text: str, hidden: DataFrame, n
     line = F.format_string("One of the special magic numbers for %s is: %s.", F.col("key"), F.col("value"))
     a = sentences.select((F.col(pos) * 2 + 1).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.col(text).alias("text"))
     b = hidden.select((at * 2).cast("long").alias("a"), F.col("needle").alias("b"), line.alias("text"))
-    return a.unionAll(b).orderBy("a", "b").select(F.concat_ws(".", F.format_string("%08d", "a"), F.format_string("%06d", "b")).alias("ord"), "text")
+    return a.unionAll(b).orderBy("a", "b").select(F.concat_ws(".", F.format_string("%012d", "a"), F.format_string("%06d", "b")).alias("ord"), "text")
 
 
 def needle_queries(hidden: DataFrame) -> DataFrame:

@@ -49,8 +49,8 @@ def needle_positions(spark, folder):
 def needle_haystack(spark, folder):
     """A haystack of the sentences of the essays, in order, with 24 needles."""
     rows = table(spark, folder, "documents", "doc_id", "source", "text").where("source = 'essay' and text is not null").select("doc_id", F.posexplode(sentences("text")).alias("p", "s"))
-    rows = rows.select((F.col("doc_id") * 1000 + F.col("p")).alias("pos"), "s")
-    return S.hide_needles(rows, "pos", "s", S.needles(spark, 12, 2, "niah"), 1000, "niah")
+    rows, n = S.numbered(rows, ["doc_id", "p"], "pos")
+    return S.hide_needles(rows, "pos", "s", S.needles(spark, 12, 2, "niah"), n, "niah")
 
 
 @query("needle_queries", f"""WITH n AS (SELECT needle, needle // 2 AS k FROM (SELECT unnest(range(0, 24)) AS needle)), v AS (SELECT needle, 'key-' || lpad(CAST({draw_sql('niah', "'key'", 'k')} % 100000 AS VARCHAR), 5, '0') || '-' || lpad(CAST(k AS VARCHAR), 4, '0') AS key, CAST(1000000 + {draw_sql('niah', "'value'", 'needle')} % 9000000 AS VARCHAR) AS value FROM n)
