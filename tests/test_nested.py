@@ -59,3 +59,22 @@ def test_empty_table(spark):
 def test_array_nodes_skip_null_elements(spark):
     df = spark.createDataFrame([(1, [("a",), None, ("b",)]), (2, None), (3, [])], "row_id long, messages array<struct<id:string>>")
     assert [tuple(r) for r in N.array_nodes(df, "row_id", "messages").select("row_id", "path", "ordinal").collect()] == [(1, "messages[0]", 0), (1, "messages[2]", 2)]
+
+
+def test_flat_tables_drop_no_value(spark):
+    raw = [
+        {"id": "m", "labelIds": ["a", None, "b"], "payload": {"mimeType": "t", "body": {"size": 3}, "parts": [{"scan": {"engine": {"name": "e", "version": 2}}, "tags": [[1], [2, 3]]}]}},
+        {"id": "n", "payload": {"parts": {"mimeType": "one", "tags": [4]}, "body": "cut"}, "mix": [{"k": 1}, 5, "s"]},
+        [{"root": 1}, 6],
+    ]
+    tables = N.flat_tables(spark.createDataFrame([(i, json.dumps(x)) for i, x in enumerate(raw)], "rid long, raw string"), "rid", "raw")
+    top = {r["rid"]: r.asDict() for r in tables["$"].collect()}
+    assert (top[0]["payload_mimeType"], top[0]["payload_body_size"], top[0]["payload_body"]) == ("t", "3", None)
+    assert (top[1]["payload_parts_mimeType"], top[1]["payload_body"]) == ("one", "cut")
+    part = tables["parts"].first()
+    assert (part["path"], part["scan_engine_name"], part["scan_engine_version"]) == ("payload.parts[0]", "e", "2")
+    of = lambda name: sorted(tuple(r) for r in tables[name].select("rid", "path", "parent_path", "ordinal", "value").collect())
+    assert of("labelIds") == [(0, "labelIds[0]", "$", 0, "a"), (0, "labelIds[2]", "$", 2, "b")]
+    assert of("tags") == [(0, f"payload.parts[0].tags[{i}][{j}]", "payload.parts[0]", j, v) for i, j, v in ((0, 0, "1"), (1, 0, "2"), (1, 1, "3"))] + [(1, "payload.parts.tags[0]", "$", 0, "4")]
+    assert of("mix_values") == [(1, "mix[1]", "$", 1, "5"), (1, "mix[2]", "$", 2, "s")]
+    assert tables["$[]"].first()["root"] == "1" and of("$_values") == [(2, "[1]", "$", 1, "6")]

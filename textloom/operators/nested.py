@@ -140,11 +140,16 @@ def _any_mixed(node: Node) -> bool:
     return node.mixed or any(map(_any_mixed, node.fields.values())) or (node.element is not None and _any_mixed(node.element))
 
 
+def _nested(value: str) -> str:
+    return f"(startswith(schema_of_variant({value}), 'OBJECT') or startswith(schema_of_variant({value}), 'ARRAY'))"
+
+
 class _Lister:
-    """Writes the expression that lists the objects of a tree; each lambda has names of its own."""
+    """Writes the expression that lists the objects, or the scalars, in the arrays of a tree; each lambda has names of its own."""
 
-    def __init__(self) -> None:
+    def __init__(self, scalars: bool = False) -> None:
         self.n = 0
+        self.scalars = scalars
 
     def under(self, node: Node, value: str, path: str, parent: str, kind: str) -> list[str]:
         """Expressions, each an array of nodes, for what lies below ``value``."""
@@ -161,7 +166,12 @@ class _Lister:
             is_object = f"not is_variant_null({x})" if element.fields and element.element is None and element.scalar is None else f"startswith(schema_of_variant({x}), 'OBJECT')"
             could = element.fields or (element.scalar is None and element.element is None)
             parts = []
-            if could:
+            if self.scalars and element.scalar is not None:
+                parts.append(
+                    f"if({x} is null or is_variant_null({x}) or {_nested(x)}, cast(array() as {NODE_TYPE}), "
+                    f"array(struct({_literal(kind)} as kind, {here} as path, {parent} as parent_path, {i} as ordinal, {x} as value)))"
+                )
+            if could and not self.scalars:
                 parts.append(
                     f"if({x} is null or not ({is_object}), cast(array() as {NODE_TYPE}), "
                     f"array(struct({_literal(kind)} as kind, {here} as path, {parent} as parent_path, {i} as ordinal, {x} as value)))"
@@ -177,79 +187,95 @@ class _Lister:
         return out
 
 
-def nodes(df: DataFrame, key: str, variant: str, tree: Node | None = None) -> DataFrame:
+def nodes(df: DataFrame, key: str, variant: str, tree: Node | None = None, scalars: bool = False) -> DataFrame:
     """(key, kind, path, parent_path, ordinal, value) of each object that is an element of an array.
 
     ``kind`` is the name of the array that holds the object, ``path`` is unique within the record,
     ``parent_path`` is that of the nearest enclosing object in an array, else ``$``. Null elements
     keep their position and give no row; empty, null and missing arrays give none; records that are
-    null or cannot be parsed give none.
+    null or cannot be parsed give none. With ``scalars``, of each scalar that is an element of an array instead.
     """
     tree = tree or infer(df, variant)
-    parts = _Lister().under(tree, variant, "''", "'$'", "$")
+    parts = _Lister(scalars).under(tree, variant, "''", "'$'", "$")
     listed = f"concat({', '.join(parts)})" if parts else f"cast(array() as {NODE_TYPE})"
     return df.where(F.col(variant).isNotNull()).select(F.col(key), F.expr(f"inline({listed})"))
 
 
-def _kinds(tree: Node) -> dict[str, dict[tuple[str, ...], None]]:
-    """Paths of the scalar fields by kind, merged over every place where an array of that name occurs."""
-    out: dict[str, dict[tuple[str, ...], None]] = {}
-
-    def walk(node: Node, kind: str | None) -> None:
-        if kind is not None:
-            own = out.setdefault(kind, {})
-            for key, child in node.fields.items():
-                if not child.fields and child.element is None:
-                    own[key,] = None
-                elif child.fields:
-                    for sub, leaf in child.fields.items():
-                        if not leaf.fields and leaf.element is None:
-                            own[key, sub] = None
-        for key, child in node.fields.items():
-            if child.fields:
-                walk(Node(fields=child.fields), None)
-            hop = child
-            while hop.element is not None:
-                hop = hop.element
-                if hop.fields:
-                    walk(Node(fields=hop.fields), key)
-
-    walk(tree, None)
+def _leaves(node: Node) -> dict[tuple[str, ...], bool]:
+    """Paths of the scalar fields below an object, through objects to any depth; whether objects or arrays may stand there as well."""
+    out: dict[tuple[str, ...], bool] = {}
+    for key, child in node.fields.items():
+        nested = bool(child.fields) or child.element is not None
+        if child.scalar is not None or not nested:
+            out[key,] = nested
+        out |= {(key, *sub): also for sub, also in _leaves(child).items()}
     return out
 
 
+def _kinds(tree: Node) -> tuple[dict[str, dict[tuple[str, ...], bool]], dict[str, None]]:
+    """Paths of the scalar fields by kind, merged over every place where an array of that name occurs, and the kinds of the arrays that hold scalars."""
+    objects: dict[str, dict[tuple[str, ...], bool]] = {}
+    scalars: dict[str, None] = {}
+
+    def walk(node: Node, kind: str) -> None:
+        for key, child in node.fields.items():
+            walk(child, key)
+        hop = node
+        while hop.element is not None:
+            hop = hop.element
+            if hop.fields:
+                own = objects.setdefault(kind, {})
+                for path, also in _leaves(hop).items():
+                    own[path] = own.get(path, False) or also
+                walk(Node(fields=hop.fields), kind)
+            if hop.scalar is not None:
+                scalars[kind] = None
+
+    walk(tree, "$")
+    return objects, scalars
+
+
 def flat_tables(df: DataFrame, key: str, json_col: str) -> dict[str, DataFrame]:
     """One flat table per kind of object, and ``$`` for the records themselves.
 
-    Each has ``rec_key, path, parent_path, ordinal`` and the kind's scalar fields as strings; fields of a
-    direct sub-object are named ``object.field`` with the dot written as ``_``. A field that
-    clashes with one of the four key columns gets a trailing underscore.
+    Each has ``rec_key, path, parent_path, ordinal`` and the kind's scalar fields as strings; fields of
+    sub-objects, at any depth, are named ``object.field`` with the dots written as ``_``. A field that
+    clashes with one of the four key columns gets a trailing underscore. An array of scalars gives a
+    table of its name with ``value``, or its name and ``_values`` where objects stand in arrays of that
+    name too. Objects in a record that is an array itself are in ``$[]``.
     """
     parsed = with_variant(df.select(key, json_col), json_col, "__v")
     tree = infer(parsed, "__v")
     rows = nodes(parsed, key, "__v", tree)
     taken = {key.lower(), "path", "parent_path", "ordinal"}
 
-    def columns(fields: dict[tuple[str, ...], None], value: str) -> list[Column]:
+    def columns(fields: dict[tuple[str, ...], bool], value: str) -> list[Column]:
         seen = set(taken)
         out = []
-        for f in fields:
-            name = "_".join(f)
+        for f, also_nested in fields.items():
+            name = "_".join(f) or "value"
             while name.lower() in seen:
                 name += "_"
             seen.add(name.lower())
             got = value
             for part in f[:-1]:
                 got = _field(got, part)
-            out.append(F.expr(_field(got, f[-1], "string")).alias(name))
+            field = F.expr(_field(got, f[-1], "string") if f else f"try_variant_get({value}, '$', 'string')")
+            if also_nested:
+                field = F.when(~F.expr(_nested(_field(got, f[-1]))), field)
+            out.append(field.alias(name))
         return out
 
-    tables = {
-        kind: rows.where(F.col("kind") == kind).select(key, "path", "parent_path", "ordinal", *columns(fields, "value"))
-        for kind, fields in _kinds(tree).items()
-    }
-    top = {(k,): None for k, c in tree.fields.items() if not c.fields and c.element is None}
-    tables["$"] = parsed.where(F.col("__v").isNotNull()).select(key, F.lit("$").alias("path"), *columns(top, "__v"))
+    objects, scalars = _kinds(tree)
+    base = (key, "path", "parent_path", "ordinal")
+    tables = {kind if kind != "$" else "$[]": rows.where(F.col("kind") == kind).select(*base, *columns(fields, "value")) for kind, fields in objects.items()}
+    values = nodes(parsed, key, "__v", tree, scalars=True)
+    for kind in scalars:
+        name = kind
+        while name in tables or name == "$":
+            name += "_values"
+        tables[name] = values.where(F.col("kind") == kind).select(*base, *columns({(): False}, "value"))
+    tables["$"] = parsed.where(F.col("__v").isNotNull()).select(key, F.lit("$").alias("path"), *columns(_leaves(tree), "__v"))
     return tables
 
 
