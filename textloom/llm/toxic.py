@@ -3,10 +3,11 @@
 1. *Voters.* Texts are cut into passages; words are freed of disguises (look-alike letters, digits for letters, stretched,
    spaced or starred words). Lexicon and pattern voters say yes, context voters say no, to each kind.
 2. *Label model.* How often each pattern of votes occurs is counted over all documents; a kind has at most
-   ``2 ** MAX_VOTERS`` patterns. On these counts EM fits a generative model: every voter's rate of voting for
-   true and for false passages, with joint rates for pairs of voters that are correlated beyond the label.
-3. *Classifier.* A linear classifier on words, word pairs and votes is trained on the posterior labels of a bounded
-   sample of documents (``sample_docs``), and scores every passage of every document; a text's score is its highest.
+   ``2 ** MAX_VOTERS`` patterns. On these counts EM fits a generative model of the accuracies of the voters and of
+   pairs of them that are correlated beyond the label. A passage without a vote for the kind has no label.
+3. *Classifier.* A linear classifier on words, word pairs and votes is trained on the posterior labels of the passages
+   with votes in a bounded sample of documents (``sample_docs``) and on a few without, at low weight. It scores
+   every passage of every document; a text's score is its highest.
 """
 
 from __future__ import annotations
@@ -29,15 +30,18 @@ from textloom.session import spread
 KINDS = ("abusive", "hateful", "sexual")
 MAX_VOTERS = 14
 SAMPLE_DOCS = 20_000  # documents, about, whose passages train the classifier
-SAMPLE_PASSAGES = 200_000  # passages of them at most
-QUIET_SHARE = 64  # of the sample's passages without a lexicon word, one in so many trains the classifier
+SAMPLE_PASSAGES = 200_000  # passages of them, about; of more, an equal share of all is drawn by hash
+QUIET_SHARE = 24  # of the sample's passages without a vote, one in so many trains the classifier
+QUIET_WEIGHT = 0.6  # of a passage without a vote for the kind or against it, beside 1 of one with
+VOTE_VALUE = 3  # of a vote as a feature, beside 1 of a word
+CONTEXT = 80  # letters before and after what a voter for a kind found, where those against it look
 SPACE = 1 << 18  # hashed features
 THRESHOLD = 0.5
 
 # Word lists, without accents.
 INSULTS = (
     "idiot idiots moron morons imbecile imbeciles loser losers scumbag scumbags bastard bastards asshole assholes arsehole prick pricks coward cowards dumbass dumbest jackass jerk creep parasite parasites bitch bitches whore slut cunt dickhead dick wanker twat retard retarded cretin "
-    "stupid dumb worthless useless pathetic miserable brainless ugly disgusting garbage trash crap shit shitty bullshit fuck fucking fucked fucker motherfucker piss freak pig swine scum lazy clown fool genius "
+    "stupid dumb worthless useless pathetic miserable brainless ugly disgusting garbage trash crap shitty bullshit fuck fucking fucked fucker motherfucker piss freak pig swine scum lazy clown fool genius "
     "connard connards connasse abruti abrutis salope salaud encule imbecile cretin debile gueule degage pauvre ferme batard cabron gilipollas imbecil mierda puta puto idiota pendejo callate inutil estupido hijo pedazo "
     "vollidiot arschloch fresse wichser hurensohn schlampe trottel depp dumm missgeburt halt maul schwein dreckskerl"
 ).split()
@@ -58,17 +62,13 @@ SEXUAL = (
 YOU = "you your yours yourself u ur tu te toi ton vous du dich dir dein deine sie ihr usted ti eres vete genius".split()
 
 _HOMOGLYPHS = str.maketrans("аеорсухіјѕԁһкмнвтАЕОРСУХІЈЅКМНВТαεορτυνικ", "aeopcyxijsdhkmhbtaeopcyxijskmhbtaeoptvvik")
-_LEET = str.maketrans("@$0134578!|", "aso" + "ieast" + "bil")
+_LEET = str.maketrans("@$0134578!|", "asoieastbil")
 _INVISIBLE = re.compile("[​-‏⁠﻿­]")
 _CLASS = {}
 for _bit, _words in enumerate((INSULTS, THREATS, GROUPS, CONTEMPT, SEXUAL)):
     for _w in _words:
         _CLASS[_w] = _CLASS.get(_w, 0) | 1 << _bit
 LEXICON = frozenset(_CLASS)
-#: Words whose passages all train the classifier. Which passages the voters look at is told by ``GATES``, not by these.
-HOT = (LEXICON - frozenset(
-    "back sleep hole halt blood die women frauen strip genius fool ferme pauvre break burn regret kick chasse animals dirty nu maul hijo neck shoot hang hurt clown lazy blacks whites stab rape drown natives pig swine lick sucking bander trash crap".split()
-)) | frozenset("walk lost sucking favour panties".split())
 _STARRED: dict[tuple[str, str, int], list[str]] = {}
 for _w in dict.fromkeys((*INSULTS, *THREATS, *GROUPS, *CONTEMPT, *SEXUAL)):  # of words with the same ends and length the first one listed is meant
     if len(_w) >= 3:
@@ -124,12 +124,11 @@ def _spaced(letters: str) -> str:
 
 
 _SPACED = re.compile(r"(?<!\S)(?:[^\W\d_][ \n]){2,}[^\W\d_](?![^\W\d_])")
-WRAPPED = 45  # a line of at least so many characters, without an end of sentence, goes on in the next one
 _END = re.compile(r"[.!?…][\"'”’»)\]]*$")
 
 
 class _Words(dict):
-    """What each raw token is: hash of the word, whether it ends a passage, whether it is hot, whether a voter may hang on it, in one number."""
+    """What each raw token is: hash of the word, whether it ends a passage, whether a voter may hang on it, in one number."""
 
     def __missing__(self, token: str) -> int:
         if len(self) > 500_000:
@@ -138,7 +137,7 @@ class _Words(dict):
             found = 1 << 19
         else:
             word = undisguise(token)
-            found = zlib.crc32(word.encode()) % SPACE | bool(_END.search(token)) << 18 | (word in HOT) << 20 | GATE.anchored(word) << 21
+            found = zlib.crc32(word.encode()) % SPACE | bool(_END.search(token)) << 18 | GATE.anchored(word) << 21
         self[token] = found
         return found
 
@@ -155,6 +154,11 @@ def _votes(*patterns: str) -> list[re.Pattern[str]]:
 
 _I = "|".join(sorted(set(INSULTS) - set("genius lazy crap garbage trash clown fool halt pauvre ferme gueule inutil hijo pedazo maul shit fuck fucking fucked ugly useless miserable pathetic stupid dumb disgusting puta mierda dick freak".split()), key=len, reverse=True))
 _ADJ = "stupid|dumb|dumbest|worthless|useless|pathetic|miserable|brainless|ugly|lazy|disgusting|fucking|filthy|complete"
+# Classes of words that voters combine.
+_HARM = "find|smash|break|kill|beat|hurt|kick|stab|shoot|hunt|punch|slap|strangle|choke|burn|bury|drown|hang|crush|cut|gut|end|destroy|knock"
+_BODY = "face|head|neck|skull|bones|teeth|fingers|legs?|arms?|nose|jaw|ribs|throat|knees|back|eyes"
+_INTIMATE = "thighs?|crotch|groin|breasts?|tits|nipples?|panties|bra|buttocks|ass|cock|dick|pussy|clit|between (?:her|his|my|your|their) legs"
+_TOUCH = "slid|slipped|strok(?:e|ed|es|ing)|caress(?:ed|es|ing)?|grop(?:e|ed|es|ing)|grabb(?:ed|ing)|squeez(?:e|ed|es|ing)|kiss(?:ed|es|ing)?|lick(?:ed|s|ing)?|suck(?:ed|s|ing)?|finger(?:ed|ing)|rubb(?:ed|ing)|nibbl(?:ed|ing)|fondl(?:e|ed|ing)|spread|thrust"
 _G = "|".join(sorted(set(GROUPS) - {"blood", "breed", "breeds", "women", "natives"}, key=len, reverse=True))
 _THOSE = rf"\b(?:those|these|the|all|every last one of the|the whole lot of|no|die|les|los|las|alle|tous les|todos los)\b (?:damned |bloody |filthy )?(?:\w+ (?:people|lot)|people from [\w ]{{3,30}}?|\w+)"
 VOTERS: dict[str, tuple[list[re.Pattern[str]], list[re.Pattern[str]]]] = {
@@ -164,8 +168,8 @@ VOTERS: dict[str, tuple[list[re.Pattern[str]], list[re.Pattern[str]]]] = {
             rf"\b(?:{_ADJ}) (?:piece of (?:shit|garbage|crap)|{_I})\b",
             rf"\b(?:you|your)\b.{{0,40}}\b(?:{_I})\b|\b(?:{_I})\b.{{0,25}}\b(?:you|your)\b",
             r"\b(?:get lost|go to hell|drop dead|fuck off|piss off|eat shit|shut (?:up|your mouth|your face)|crawl back|screw you|fuck you|kill yourself|go die|choke on)\b",
-            r"\b(?:i will|i'll|i am going to|i'd love to|gonna|somebody should|someone should|watch) .{0,20}(?:find you|smash your|break your|kill you|beat you|see you beaten|hurt you|kick you|stab you|shoot you|your back|hunt you)\b",
-            r"\b(?:you will not|you won't) (?:walk home|live|see|wake|leave)|know where you (?:live|sleep)|hope you (?:choke|die|rot|suffer)|say that again and\b",
+            rf"\b(?:will|i'll|going to|love to|gonna|gotta|want to|wanna|should|could|let me|hope to)\b.{{0,20}}\b(?:{_HARM}) (?:you|ya|your (?:{_BODY}|house|family|kids))\b|\bsee you (?:beaten|dead|bleed|burn|cry|crawl)\b|\bwatch your back\b",
+            r"\byou (?:will not|won't) (?:walk home|live|see|wake|leave)|\byou(?:'ll| will) (?:regret|die|pay for|bleed|be sorry)\b|\bknow where you (?:live|sleep|work)|\b(?:hope|wish|want|deserve) (?:you )?(?:to )?(?:choke|die|rot|suffer|burn|bleed|drown|get hit)\b|\bsay that again and\b",
             r"\b(?:nobody wants|ashamed to breathe|everybody here knows it|your work is (?:garbage|trash|crap|shit)|do your damn job|piece of shit|do us all a favour)\b",
             rf"\b(?:what kind of|only a(?: complete)?|listen you|hey|honestly you|what an? ugly)\b.{{0,25}}\b(?:{_I}|brainless)\b",
             r"\b(?:ferme ta gueule|ta gueule|espece d|tu n'es qu|pauvre con\w*|degage|va te faire|nique ta)\b",
@@ -204,6 +208,8 @@ VOTERS: dict[str, tuple[list[re.Pattern[str]], list[re.Pattern[str]]]] = {
             r"\b(?:had|hot|raw|sweaty|wild|rough|have|having) sex\b|\bsex (?:twice|all night|with (?:me|him|her|you))\b|\bsweaty sex\b",
             r"\b(?:fuck|fucked|fucking) (?:her|him|me|each other|us)\b|\bpanties\b|\bon top of (?:her|him)\b.{0,30}\b(?:naked|moan\w*)\b",
             r"\btouching myself\b|\bbare breasts\b|\bnaked and (?:hard|touching|wet)\b|\bso (?:horny|wet)\b|\bhorny\b",
+            rf"\b(?:{_TOUCH})\b.{{0,40}}\b(?:{_INTIMATE})\b|\b(?:{_INTIMATE})\b.{{0,30}}\b(?:{_TOUCH})\b",
+            r"\b(?:how|so|all|dripping|soaking) (?:wet|hard|horny) (?:he|she|i|you|it made|for)\b|\b(?:until|as|before|when|till) (?:he|she|they|i|we|both) (?:came|climaxed|finished)\b.{0,30}\b(?:inside|hard|loud\w*|together|again|moan\w*)\b|\b(?:inside|deeper into|deep into|on top of|astride|straddl\w+|mount\w*) (?:her|him)\b.{0,40}\b(?:came|moan\w*|thrust\w*|naked|hips|wet|hard)\b",
             r"\b(?:desnuda|desnudo)\b.{0,40}\bfollar\b|\bfollar\b|\b(?:nue?)\b.{0,30}\bbaiser\b|\bvoulait baiser\b|\bnackt\b.{0,40}\bficken\b|\bficken\b",
         ),
         _votes(
@@ -217,30 +223,31 @@ YES = [p for yes, _ in VOTERS.values() for p in yes]
 GATE = Gate([p.pattern for p in YES], LEXICON.__contains__)
 
 
-def _reaches(p: re.Pattern[str], wide: str, lo: int, hi: int) -> bool:
-    """Whether a match takes in some of ``wide[lo:hi]``."""
+def _reach(p: re.Pattern[str], wide: str, lo: int, hi: int) -> tuple[int, int] | None:
+    """The first match that takes in some of ``wide[lo:hi]``."""
     at = 0
     while (m := p.search(wide, at)) and m.start() < hi:
         if m.end() > lo:
-            return True
+            return m.span()
         at = m.start() + 1
-    return False
+    return None
 
 
 def vote(text: str, wide: str, at: int = 0, could: set[int] | None = None) -> tuple[int, int, int]:
-    """The pattern of votes of each kind as bits; ``wide`` takes in what lies over a line break, for the yes voters, and
-    holds the text at ``at``. Only the yes voters in ``could`` (numbers in ``YES``) are asked, without it all."""
+    """The pattern of votes of each kind as bits; ``wide`` takes in what lies over a line break and holds the text at
+    ``at``. Only the yes voters in ``could`` (numbers in ``YES``) are asked, without it all; the no voters look around what these found."""
     out, n = [], 0
+    wide, at = (wide, at) if wide else (text, 0)
     for yes, no in VOTERS.values():
-        bits = 0
+        bits, around = 0, []
         for i, p in enumerate(yes):
-            if (could is None or n + i in could) and (p.search(text) or wide and _reaches(p, wide, at, at + len(text))):
+            if (could is None or n + i in could) and (span := _reach(p, wide, at, at + len(text))):
                 bits |= 1 << i
+                around.append(wide[max(0, span[0] - CONTEXT) : span[1] + CONTEXT])
         n += len(yes)
-        if bits:
-            for i, p in enumerate(no):
-                if p.search(text):
-                    bits |= 1 << (len(yes) + i)
+        for i, p in enumerate(no):
+            if any(map(p.search, around)):
+                bits |= 1 << (len(yes) + i)
         out.append(bits)
     return out[0], out[1], out[2]
 
@@ -255,10 +262,9 @@ class Passages:
             tokens: list[str] = []
             if t:
                 lines = _SPACED.sub(lambda m: _spaced(m.group()), _INVISIBLE.sub("", t)).split("\n")
-                for line, following in zip(lines, [*lines[1:], ""], strict=True):
+                for line in lines:  # a passage is a sentence's part in a line; voters look over line breaks
                     tokens += line.split()
-                    if len(line) < WRAPPED or line[-1] in ".!?:;" or not following or following[0].isspace():
-                        tokens.append("\x1e")
+                    tokens.append("\x1e")
             tokens.append("\x1e")
             raw += tokens
             sizes.append(len(tokens))
@@ -279,8 +285,6 @@ class Passages:
         near = np.zeros(self.count, bool)
         near[passage[code >> 21 & 1 > 0]] = True
         words = lambda p: [w for x in raw[self.start[p] : stop[p]] if x != "\x1e" and (w := undisguise(x))]
-        hot = np.zeros(self.count, bool)
-        hot[passage[code >> 20 & 1 > 0]] = True
         for p in np.flatnonzero(near).tolist():
             own = words(p)
             before = words(p - 1) if p and goes_on[p - 1] else []
@@ -288,8 +292,6 @@ class Passages:
             if could := GATE.open(own, [*before, *after]):  # of a match over a line break, the passage with its telling word gets the vote
                 text, lead = " ".join(own), " ".join(before) + " " if before else ""
                 self.votes[p] = vote(text, lead + " ".join((text, *after)) if before or after else "", len(lead), could)
-                hot[p] |= self.votes[p].any()
-        self.hot = np.flatnonzero(hot)
 
     def features(self) -> tuple[np.ndarray, np.ndarray]:
         """(passage, feature) of words and pairs of neighbouring words."""
@@ -303,42 +305,68 @@ class Passages:
 # ---------------------------------------------------------------- the label model
 
 
+def _logit(p: np.ndarray) -> np.ndarray:
+    return np.log(p / (1 - p))
+
+
+def _chance(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+
+
 class LabelModel:
-    """P(votes | label) of one kind among the passages with at least one yes, with pairs of correlated voters kept together."""
+    """P(label | votes) of one kind among the passages with at least one vote for it.
+
+    Voters for the kind look for one wording each, so that they are silent says nothing: each has an accuracy, that of
+    its votes. Correlated pairs of them have accuracies of their own for the first alone, the second alone and both. Voters
+    against it look at every such passage: each has a rate of voting for true and for false passages.
+    """
+
+    BALANCE = 0.6  # of true passages among those with votes, before the votes are looked at
+    ACCURACY, AGAINST = 0.8, (0.4, 0.01)  # what voters are written for: accuracy; rate of votes against on false and on true passages
+    COUNT = 20.0  # votes that this is worth, however many there are in the data
 
     def __init__(self, n_yes: int, n_no: int) -> None:
         self.n, self.n_yes = n_yes + n_no, n_yes
-        self.prior = 0.8
-        # What voters are made for; with few votes the rates stay near it.
-        self.base = np.array([[0.12] * n_yes + [0.7] * n_no, [0.3] * n_yes + [0.03] * n_no])  # [label, voter]
-        self.rate = self.base.copy()
+        self.accuracy = np.full(n_yes, self.ACCURACY)
+        self.against = np.repeat(np.array(self.AGAINST)[:, None], n_no, axis=1)  # [label, voter]
         self.pairs: list[tuple[int, int]] = []
-        self.joint: np.ndarray | None = None  # [label, pair, votes of both]
+        self.pair_base = self.pair_accuracy = np.zeros((0, 3))
 
-    def posterior(self, patterns: np.ndarray) -> np.ndarray:
-        """P(true | votes); without a yes nothing speaks for the kind."""
+    def _units(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What was seen, as 0 and 1: votes of the voters for the kind that stand alone, then three cells a pair; and the votes against it."""
         votes = patterns[:, None] >> np.arange(self.n) & 1
-        paired = {i for p in self.pairs for i in p}
-        single = [i for i in range(self.n) if i not in paired]
-        log = np.zeros((2, len(patterns)))
-        for y in (0, 1):
-            r = self.rate[y, single]
-            log[y] = np.log(self.prior if y else 1 - self.prior) + votes[:, single] @ np.log(r) + (1 - votes[:, single]) @ np.log(1 - r)
-            for k, (i, j) in enumerate(self.pairs):
-                log[y] += np.log(self.joint[y, k, 2 * votes[:, i] + votes[:, j]])
-        out = 1 / (1 + np.exp(np.clip(log[0] - log[1], -50, 50)))
-        return np.where(patterns & ((1 << self.n_yes) - 1), out, 0.0)
-
-    def _maximise(self, votes: np.ndarray, counts: np.ndarray, post: np.ndarray) -> None:
-        for y, w in enumerate((counts * (1 - post), counts * post)):
-            strength = max(20.0, 0.5 * w.sum())
-            self.rate[y] = np.clip((w @ votes + strength * self.base[y]) / (w.sum() + strength), 1e-4, 1 - 1e-4)
-            for k, (i, j) in enumerate(self.pairs):
-                cell = np.bincount(2 * votes[:, i] + votes[:, j], weights=w, minlength=4)
-                p, q = self.rate[y, i], self.rate[y, j]
-                free = np.array([(1 - p) * (1 - q), (1 - p) * q, p * (1 - q), p * q])
-                self.joint[y, k] = (cell + strength * free) / (cell.sum() + strength)
-        self.prior = float(np.clip(((counts * post).sum() + 8) / (counts.sum() + 10), 0.05, 0.98))
+        seen = votes[:, : self.n_yes].copy()
+        cells = []
+        for i, j in self.pairs:
+            seen[:, [i, j]] = 0
+            cells += [votes[:, i] & ~votes[:, j] & 1, votes[:, j] & ~votes[:, i] & 1, votes[:, i] & votes[:, j]]
+        return np.column_stack([seen, *cells]), votes[:, self.n_yes :]
+
+    def _logits(self, seen: np.ndarray, no: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each pattern, and what each unit adds to it."""
+        each = seen * _logit(np.concatenate((self.accuracy, self.pair_accuracy.ravel())))
+        d0, d1 = self.against
+        z = _logit(np.array(self.BALANCE)) + no @ np.log(d1 / d0) + (1 - no) @ np.log((1 - d1) / (1 - d0)) + each.sum(axis=1)
+        return z, each
+
+    def posterior(self, patterns: np.ndarray) -> np.ndarray:
+        """P(true | votes); without a vote for the kind nothing is known, which is told as 0."""
+        z, _ = self._logits(*self._units(patterns))
+        return np.where(patterns & ((1 << self.n_yes) - 1), _chance(z), 0.0)
+
+    def _rounds(self, patterns: np.ndarray, counts: np.ndarray, rounds: int) -> None:
+        """EM; a voter's accuracy is taken from what the others say of its passages, for its own vote would confirm itself."""
+        seen, no = self._units(patterns)
+        base = np.concatenate((np.full(self.n_yes, self.ACCURACY), self.pair_base.ravel()))
+        met = counts @ seen
+        for _ in range(rounds):
+            z, each = self._logits(seen, no)
+            right = (counts[:, None] * seen * _chance(z[:, None] - each)).sum(axis=0)
+            new = np.clip((self.COUNT * base + right) / (self.COUNT + met), 0.02, 0.99)
+            self.accuracy, self.pair_accuracy = new[: self.n_yes], new[self.n_yes :].reshape(-1, 3)
+            post = _chance(z)
+            for y, w in enumerate((counts * (1 - post), counts * post)):
+                self.against[y] = (self.COUNT * self.AGAINST[y] + w @ no) / (self.COUNT + w.sum())
 
     def fit(self, patterns: np.ndarray, counts: np.ndarray, rounds: int = 25, most_pairs: int = 4, least: float = 0.15) -> None:
         """EM on how often each pattern of votes occurs; then again with the most correlated pairs."""
@@ -346,28 +374,27 @@ class LabelModel:
         patterns, counts = patterns[some], counts[some]
         if not len(patterns):
             return
-        votes = patterns[:, None] >> np.arange(self.n) & 1
-        for _ in range(rounds):
-            self._maximise(votes, counts, self.posterior(patterns))
+        self._rounds(patterns, counts, rounds)
         # Correlation beyond the label: of the votes given each label, weighted by how likely it is.
-        post = self.posterior(patterns)
-        excess = np.zeros((self.n, self.n))
+        post, votes = self.posterior(patterns), patterns[:, None] >> np.arange(self.n_yes) & 1
+        excess = np.zeros((self.n_yes, self.n_yes))
         for w in (counts * (1 - post), counts * post):
             if w.sum() > 20:
                 mean = w @ votes / w.sum()
                 cov = (votes * w[:, None]).T @ votes / w.sum() - np.outer(mean, mean)
                 sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-                excess = np.maximum(excess, np.abs(cov / np.outer(sd, sd)))
+                excess = np.maximum(excess, cov / np.outer(sd, sd))
         pairs, taken = [], set()
-        for i, j in sorted(((i, j) for i in range(self.n) for j in range(i)), key=lambda p: -excess[p]):
+        for i, j in sorted(((i, j) for i in range(self.n_yes) for j in range(i)), key=lambda p: -excess[p]):
             if len(pairs) < most_pairs and excess[i, j] >= least and not taken & {i, j}:
                 pairs.append((i, j))
                 taken |= {i, j}
         if pairs:
-            self.pairs, self.joint = pairs, np.full((2, len(pairs), 4), 0.25)
-            self._maximise(votes, counts, post)
-            for _ in range(rounds):
-                self._maximise(votes, counts, self.posterior(patterns))
+            self.pairs = pairs
+            z = [(_logit(self.accuracy[i]), _logit(self.accuracy[j]), 1 - min(1.0, excess[i, j])) for i, j in pairs]
+            self.pair_base = np.array([[_chance(x) for x in (a, b, max(a, b) + new * min(a, b))] for a, b, new in z])  # the second of two that agree anyway says little
+            self.pair_accuracy = self.pair_base.copy()
+            self._rounds(patterns, counts, rounds)
 
 
 # ---------------------------------------------------------------- the classifier
@@ -379,7 +406,7 @@ class Linear:
     def __init__(self, voters: int) -> None:
         self.w = np.zeros(SPACE + voters + 1, np.float32)
 
-    def fit(self, passage: np.ndarray, feature: np.ndarray, label: np.ndarray, weight: np.ndarray, rounds: int = 250, rate: float = 0.3, l2: float = 3e-6) -> None:
+    def fit(self, passage: np.ndarray, feature: np.ndarray, label: np.ndarray, weight: np.ndarray, rounds: int = 120, rate: float = 0.4, l2: float = 3e-6) -> None:
         """AdaGrad on the whole sample; labels are probabilities."""
         n = len(label)
         self.w[-1] = -3.0
@@ -404,11 +431,12 @@ class Linear:
 
 def _with_votes(passage: np.ndarray, feature: np.ndarray, votes: np.ndarray, voters: int) -> tuple[np.ndarray, np.ndarray]:
     at, which = np.nonzero(votes[:, None] >> np.arange(voters) & 1)
-    return np.concatenate((passage, at)), np.concatenate((feature, SPACE + which))
+    return np.concatenate((passage, np.repeat(at, VOTE_VALUE))), np.concatenate((feature, np.repeat(SPACE + which, VOTE_VALUE)))
 
 
 def _patterns(df: DataFrame, text: str) -> pd.DataFrame:
-    """(kind, pattern, n) over all documents; the number of rows is bounded by the voters."""
+    """(kind, pattern, n) over all documents; the number of rows is bounded by the voters. As kind 3 and pattern 0 or 1,
+    how many passages have no vote of any kind, and how many have one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[tuple[int, int], int] = {}
@@ -419,6 +447,9 @@ def _patterns(df: DataFrame, text: str) -> pd.DataFrame:
                     values, n = np.unique(p.votes[:, k], return_counts=True)
                     for v, c in zip(values.tolist(), n.tolist(), strict=True):
                         total[k, v] = total.get((k, v), 0) + c
+                voted = int(p.votes.any(axis=1).sum())
+                for v, c in enumerate((p.count - voted, voted)):
+                    total[3, v] = total.get((3, v), 0) + c
         yield pa.RecordBatch.from_pydict({"kind": [k for k, _ in total], "pattern": [v for _, v in total], "n": list(total.values())}, pa.schema([("kind", pa.int64()), ("pattern", pa.int64()), ("n", pa.int64())]))
 
     return spread(df.select(text)).mapInArrow(run, "kind long, pattern long, n long").groupBy("kind", "pattern").agg(F.sum("n").alias("n")).toPandas()
@@ -427,40 +458,46 @@ def _patterns(df: DataFrame, text: str) -> pd.DataFrame:
 CHUNK = 1_000  # documents that are looked at together
 
 
-def _sample(df: DataFrame, key: str, text: str, sample_docs: int) -> list:
-    """Passages of a bounded sample of documents, by hash: all hot ones and every QUIET_SHARE-th other one."""
+def _sample(df: DataFrame, key: str, text: str, sample_docs: int, passages: int, voted: int) -> list:
+    """Passages of a bounded sample of documents, by hash: all with votes and every QUIET_SHARE-th other one, or an equal
+    share of them where more than SAMPLE_PASSAGES are to be expected from the ``passages`` of all documents, ``voted`` of which have votes."""
+    docs = min(1.0, sample_docs / max(1, df.count()))
+    expected = docs * (voted + (passages - voted) / QUIET_SHARE)
+    of_passages = min(1.0, SAMPLE_PASSAGES / max(1.0, expected))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, CHUNK):
-                p = Passages(whole.slice(at, CHUNK).column(0).to_pylist())
-                hot = np.zeros(p.count, bool)
-                hot[p.hot] = True
+                batch = whole.slice(at, CHUNK)
+                p = Passages(batch.column(1).to_pylist())
+                # Each passage is drawn by its text's key and its place, so that what is said often is drawn more likely.
+                key_hash = np.asarray(batch.column(0)).astype(np.uint64)[p.text_of]
+                draw = (key_hash ^ (np.arange(p.count, dtype=np.uint64) - np.searchsorted(p.text_of, p.text_of).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(40)
+                share = np.where(p.votes.any(axis=1), 1.0, 1 / QUIET_SHARE) * of_passages
                 passage, feature = p.features()
-                first = np.zeros(p.count, np.int64)
-                np.add.at(first, passage, feature)
-                take = np.flatnonzero(hot | (first % QUIET_SHARE == 0) & (first > 0))
+                real = np.bincount(passage, minlength=p.count) > 0
+                take = np.flatnonzero(real & (draw < share * (1 << 24)))
                 order = np.argsort(passage, kind="stable")
                 lo, hi = np.searchsorted(passage[order], take), np.searchsorted(passage[order], take, "right")
                 f = feature[order]
                 yield pa.RecordBatch.from_pydict(
-                    {"features": [f[a:b].tolist() for a, b in zip(lo, hi, strict=True)], "votes": p.votes[take].tolist(), "hot": hot[take].tolist()},
-                    pa.schema([("features", pa.list_(pa.int64())), ("votes", pa.list_(pa.int64())), ("hot", pa.bool_())]),
+                    {"features": [f[a:b].tolist() for a, b in zip(lo, hi, strict=True)], "votes": p.votes[take].tolist()},
+                    pa.schema([("features", pa.list_(pa.int64())), ("votes", pa.list_(pa.int64()))]),
                 )
 
-    share = sample_docs / max(1, df.count())  # drawn by hash where the rows lie: no row is moved for it
-    chosen = df.select(key, text).where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30))).select(text)
-    return spread(chosen).mapInArrow(run, "features array<long>, votes array<long>, hot boolean").dropDuplicates(["features"]).limit(SAMPLE_PASSAGES).collect()
+    hashed = df.select(F.xxhash64(key).alias("h"), text)
+    chosen = hashed.where(F.pmod("h", F.lit(1 << 30)) < int(docs * (1 << 30)))  # drawn where the rows lie: no row is moved for it
+    return spread(chosen).mapInArrow(run, "features array<long>, votes array<long>").dropDuplicates(["features"]).collect()
 
 
 def train(df: DataFrame, key: str, text: str, sample_docs: int = SAMPLE_DOCS) -> tuple[list[LabelModel], list[Linear]]:
     """Label models from the vote patterns of all documents, classifiers from a bounded sample."""
     counts = _patterns(df, text)
-    rows = sorted(_sample(df, key, text, sample_docs), key=lambda r: r["features"])
+    n_of = counts[counts["kind"] == 3].set_index("pattern")["n"]
+    rows = sorted(_sample(df, key, text, sample_docs, int(n_of.sum()), int(n_of.get(1, 0))), key=lambda r: r["features"])
     passage = np.repeat(np.arange(len(rows)), [len(r["features"]) for r in rows]) if rows else np.zeros(0, np.int64)
     feature = np.array([f for r in rows for f in r["features"]], np.int64)
     votes = np.array([r["votes"] for r in rows], np.int64).reshape(-1, 3)
-    weight = np.array([1.0 if r["hot"] else 4.0 for r in rows])
     models, classifiers = [], []
     for k, kind in enumerate(KINDS):
         yes, no = VOTERS[kind]
@@ -469,8 +506,8 @@ def train(df: DataFrame, key: str, text: str, sample_docs: int = SAMPLE_DOCS) ->
         if len(own):
             m.fit(own["pattern"].to_numpy(), own["n"].to_numpy(float))
         if len(rows):
-            label = m.posterior(votes[:, k])
-            c.fit(*_with_votes(passage, feature, votes[:, k], VOTER_COUNT[kind]), label, np.where(label > 0.5, 4.0, weight))
+            weight = np.where(votes[:, k] > 0, 1.0, QUIET_WEIGHT)
+            c.fit(*_with_votes(passage, feature, votes[:, k], VOTER_COUNT[kind]), m.posterior(votes[:, k]), weight)
         models.append(m)
         classifiers.append(c)
     return models, classifiers
