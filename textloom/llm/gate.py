@@ -77,12 +77,13 @@ class Gate:
             self.by_anchor.setdefault(max(words, key=lambda w: (rare(w.removeprefix(OPEN)), len(w), w)), []).append((i, words))
         parts = {w.removeprefix(OPEN) for _, words in found for w in words if w.startswith(OPEN)}
         self.parts = [(OPEN + p, p) for p in sorted(parts)]
+        self.vocabulary = frozenset(w for _, words in found for w in words)
         self.facts = functools.lru_cache(maxsize=300_000)(self._facts)
 
     def _facts(self, token: str) -> frozenset[str]:
-        """The words in a token without blanks, and the marked parts that they hold."""
+        """The words of the patterns in a token without blanks, and the marked parts that it holds."""
         runs = RUN.findall(token)
-        return frozenset((*runs, *(mark for mark, part in self.parts if any(part in r for r in runs))))
+        return self.vocabulary.intersection((*runs, *(mark for mark, part in self.parts if any(part in r for r in runs))))
 
     def anchored(self, token: str) -> bool:
         """Whether a text with this token is to be looked at; a text without such a token has no match."""
@@ -91,5 +92,6 @@ class Gate:
     def open(self, tokens: Iterable[str], around: Iterable[str] = ()) -> set[int]:
         """The patterns that could match the tokens, joined by blanks, or them and those ``around`` with the telling word among the tokens."""
         own = frozenset().union(*map(self.facts, tokens))
-        words = own.union(*map(self.facts, around))
-        return {i for a in self.by_anchor.keys() & own for i, need in self.by_anchor[a] if need <= words}
+        anchors = self.by_anchor.keys() & own
+        words = own.union(*map(self.facts, around)) if anchors else own
+        return {i for a in anchors for i, need in self.by_anchor[a] if need <= words}

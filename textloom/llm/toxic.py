@@ -128,7 +128,7 @@ _END = re.compile(r"[.!?…][\"'”’»)\]]*$")
 
 
 class _Words(dict):
-    """What each raw token is: hash of the word, whether it ends a passage, whether a voter may hang on it, in one number."""
+    """What each raw token is: hash of the word, whether it ends a passage, is a single letter, may have a voter hang on it, in one number."""
 
     def __missing__(self, token: str) -> int:
         if len(self) > 500_000:
@@ -137,7 +137,7 @@ class _Words(dict):
             found = 1 << 19
         else:
             word = undisguise(token)
-            found = zlib.crc32(word.encode()) % SPACE | bool(_END.search(token)) << 18 | GATE.anchored(word) << 21
+            found = zlib.crc32(word.encode()) % SPACE | bool(_END.search(token)) << 18 | (len(token.strip(".,;:!?\"')")) == 1) << 20 | GATE.anchored(word) << 21
         self[token] = found
         return found
 
@@ -155,7 +155,7 @@ def _votes(*patterns: str) -> list[re.Pattern[str]]:
 _I = "|".join(sorted(set(INSULTS) - set("genius lazy crap garbage trash clown fool halt pauvre ferme gueule inutil hijo pedazo maul shit fuck fucking fucked ugly useless miserable pathetic stupid dumb disgusting puta mierda dick freak".split()), key=len, reverse=True))
 _ADJ = "stupid|dumb|dumbest|worthless|useless|pathetic|miserable|brainless|ugly|lazy|disgusting|fucking|filthy|complete"
 # Classes of words that voters combine.
-_HARM = "find|smash|break|kill|beat|hurt|kick|stab|shoot|hunt|punch|slap|strangle|choke|burn|bury|drown|hang|crush|cut|gut|end|destroy|knock"
+_HARM = "find|smash|break|kill|beat|hurt|kick|stab|shoot|hunt|punch|slap|strangle|choke|burn|bury|drown|hang|crush|destroy"
 _BODY = "face|head|neck|skull|bones|teeth|fingers|legs?|arms?|nose|jaw|ribs|throat|knees|back|eyes"
 _INTIMATE = "thighs?|crotch|groin|breasts?|tits|nipples?|panties|bra|buttocks|ass|cock|dick|pussy|clit|between (?:her|his|my|your|their) legs"
 _TOUCH = "slid|slipped|strok(?:e|ed|es|ing)|caress(?:ed|es|ing)?|grop(?:e|ed|es|ing)|grabb(?:ed|ing)|squeez(?:e|ed|es|ing)|kiss(?:ed|es|ing)?|lick(?:ed|s|ing)?|suck(?:ed|s|ing)?|finger(?:ed|ing)|rubb(?:ed|ing)|nibbl(?:ed|ing)|fondl(?:e|ed|ing)|spread|thrust"
@@ -169,7 +169,7 @@ VOTERS: dict[str, tuple[list[re.Pattern[str]], list[re.Pattern[str]]]] = {
             rf"\b(?:you|your)\b.{{0,40}}\b(?:{_I})\b|\b(?:{_I})\b.{{0,25}}\b(?:you|your)\b",
             r"\b(?:get lost|go to hell|drop dead|fuck off|piss off|eat shit|shut (?:up|your mouth|your face)|crawl back|screw you|fuck you|kill yourself|go die|choke on)\b",
             rf"\b(?:will|i'll|going to|love to|gonna|gotta|want to|wanna|should|could|let me|hope to)\b.{{0,20}}\b(?:{_HARM}) (?:you|ya|your (?:{_BODY}|house|family|kids))\b|\bsee you (?:beaten|dead|bleed|burn|cry|crawl)\b|\bwatch your back\b",
-            r"\byou (?:will not|won't) (?:walk home|live|see|wake|leave)|\byou(?:'ll| will) (?:regret|die|pay for|bleed|be sorry)\b|\bknow where you (?:live|sleep|work)|\b(?:hope|wish|want|deserve) (?:you )?(?:to )?(?:choke|die|rot|suffer|burn|bleed|drown|get hit)\b|\bsay that again and\b",
+            r"\byou (?:will not|won't) (?:walk home|live|see|wake|leave)\b|\byou(?:'ll| will) (?:regret|die|pay for|bleed|be sorry)\b|\bknow where you (?:live|sleep|work)\b|\b(?:hope|wish|want|deserve) (?:you )?(?:to )?(?:choke|die|rot|suffer|burn|bleed|drown|get hit)\b|\bsay that again and\b",
             r"\b(?:nobody wants|ashamed to breathe|everybody here knows it|your work is (?:garbage|trash|crap|shit)|do your damn job|piece of shit|do us all a favour)\b",
             rf"\b(?:what kind of|only a(?: complete)?|listen you|hey|honestly you|what an? ugly)\b.{{0,25}}\b(?:{_I}|brainless)\b",
             r"\b(?:ferme ta gueule|ta gueule|espece d|tu n'es qu|pauvre con\w*|degage|va te faire|nique ta)\b",
@@ -188,7 +188,7 @@ VOTERS: dict[str, tuple[list[re.Pattern[str]], list[re.Pattern[str]]]] = {
             r"\bbreed like\b|\bborn (?:dirty|liars|criminals|thieves)\b|\bin their blood\b|\binferior lot\b|\bwhole breed\b|\btoo stupid to live among\b",
             r"\b(?:must|ought to|should|has to|have to|need to|gotta) (?:all )?be (?:wiped out|driven out|exterminated|eradicated|deported|shot|hanged|burned|banned|locked up|gassed|thrown out)\b",
             r"\bsend (?:all |those |them |the )?.{0,45}\bback where they\b|\bgo back to (?:where|your country)\b|\bdo not belong among\b|\bdon't belong here\b",
-            rf"\b(?:no|never hire|ban) (?:one of those |those |all )?(?:{_G}|\w+|people from [\w ]{{3,25}}|\w+ people)\b.{{0,25}}\b(?:be allowed|that whole breed|near our|in our)",
+            rf"\b(?:no|never hire|ban) (?:one of those |those |all )?(?:{_G}|\w+|people from [\w ]{{3,25}}|\w+ people)\b.{{0,25}}\b(?:be allowed|that whole breed|near our|in our)\b",
             r"\bburn their\b|\bspread like a disease\b|\bdeserve whatever beating\b|\bsooner they are gone\b|\bruin this (?:town|country|city)\b|\bsteal our (?:work|jobs|women)\b|\bwas clean until the\b|\bbe allowed to teach\b|\bcannot be trusted it is\b|\bbanned from our\b",
             r"\bsubhuman\b|\bexterminate[ds]?\b|\bungeziefer\b|\babschaum\b|\bvermine\b|\bracaille\b|\bescoria\b",
             r"\bsind (?:ungeziefer|abschaum|dreck|ratten)\b|\brausgeworfen\b|\bsont de la vermine\b|\bqu'on les chasse\b|\bson (?:basura|escoria|ratas)\b|\bhabria que echarlos\b",
@@ -220,7 +220,12 @@ VOTERS: dict[str, tuple[list[re.Pattern[str]], list[re.Pattern[str]]]] = {
 }
 VOTER_COUNT = {k: len(p) + len(n) for k, (p, n) in VOTERS.items()}
 YES = [p for yes, _ in VOTERS.values() for p in yes]
-GATE = Gate([p.pattern for p in YES], LEXICON.__contains__)
+#: Words of every text; a voter's alternative is looked for by another word of it, if it has one.
+COMMON = frozenset(
+    "with our could let between will until back when again into before this they you your till both inside deep as and the all no those these from in on to of at it is are be been so how her him she he me them their that where there what who why not now then than "
+    "get got go won don have had has one near like too whole every last for by up out down off over under we us my i a t s d ll re qu an u la el le les los las den de du en son sont est alle tous todos y".split()
+)
+GATE = Gate([p.pattern for p in YES], lambda w: (w in LEXICON and w not in COMMON) - (w in COMMON))
 
 
 def _reach(p: re.Pattern[str], wide: str, lo: int, hi: int) -> tuple[int, int] | None:
@@ -256,19 +261,19 @@ class Passages:
     """The passages of many texts: feature hashes laid end to end, and the votes on each."""
 
     def __init__(self, texts: list[str | None]) -> None:
-        raw: list[str] = []
-        sizes = []
-        for t in texts:
-            tokens: list[str] = []
-            if t:
-                lines = _SPACED.sub(lambda m: _spaced(m.group()), _INVISIBLE.sub("", t)).split("\n")
-                for line in lines:  # a passage is a sentence's part in a line; voters look over line breaks
-                    tokens += line.split()
-                    tokens.append("\x1e")
-            tokens.append("\x1e")
-            raw += tokens
-            sizes.append(len(tokens))
+        lists = [self._tokens(t) for t in texts]
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        raw = [x for tokens in lists for x in tokens]
         code = np.fromiter(map(_WORDS.__getitem__, raw), np.int64, len(raw))
+        # Letters set apart: three tokens of one letter in a row, line breaks aside.
+        words = np.flatnonzero(code != 1 << 19)
+        single = code[words] >> 20 & 1 > 0
+        if len(single) > 2 and (row := np.flatnonzero(single[2:] & single[1:-1] & single[:-2])).size:
+            for i in np.unique(np.searchsorted(np.cumsum(sizes), words[row], "right")).tolist():
+                lists[i] = self._tokens(_SPACED.sub(lambda m: _spaced(m.group()), _INVISIBLE.sub("", texts[i])))
+                sizes[i] = len(lists[i])
+            raw = [x for tokens in lists for x in tokens]
+            code = np.fromiter(map(_WORDS.__getitem__, raw), np.int64, len(raw))
         soft = code == 1 << 19
         text_end = np.cumsum(sizes)
         end = soft | (code >> 18 & 1 > 0)
@@ -293,6 +298,17 @@ class Passages:
                 text, lead = " ".join(own), " ".join(before) + " " if before else ""
                 self.votes[p] = vote(text, lead + " ".join((text, *after)) if before or after else "", len(lead), could)
 
+    @staticmethod
+    def _tokens(text: str | None) -> list[str]:
+        """The words of a text; a passage is a sentence's part in a line, and voters look over line breaks."""
+        tokens: list[str] = []
+        if text:
+            for line in (text if text.isascii() else _INVISIBLE.sub("", text)).split("\n"):
+                tokens += line.split()
+                tokens.append("\x1e")
+        tokens.append("\x1e")
+        return tokens
+
     def features(self) -> tuple[np.ndarray, np.ndarray]:
         """(passage, feature) of words and pairs of neighbouring words."""
         keep = np.flatnonzero(~self.soft)
