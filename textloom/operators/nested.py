@@ -1,10 +1,9 @@
 """Flat tables out of deeply nested records.
 
-One pass infers a schema merged over *all* records, distributed, on the JVM. The schema then
-drives one generated expression that lists every object found in an array, at any depth, with its
-path, its parent's path and its ordinal, and one ``inline`` turns the list into rows. No level needs
-another scan and no join is made: keys are paths, so children find their parents by
-(record key, parent path).
+A schema merged over *all* records is inferred first, distributed, on the JVM. Then each level of arrays is
+exploded into rows of child objects, which carry their parent's surrogate key and their place in the
+array, and the rows so won are exploded again for the next level, down to the deepest array of the schema. All levels
+are steps of one narrow stage: no level needs another scan, and no join is made.
 """
 
 from __future__ import annotations
@@ -15,9 +14,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: How often a record may have been JSON-encoded as a string inside a string.
-MAX_ENCODINGS = 5
-NODE_TYPE = "array<struct<kind:string,path:string,parent_path:string,ordinal:int,value:variant>>"
+#: A row while levels are exploded. form: 0 an object, 1 an array, 2 a scalar.
+ROW = "place:int,form:int,kind:string,path:string,parent_path:string,ordinal:int,node_key:bigint,parent_key:bigint,value:variant"
 
 
 @dataclass
@@ -82,15 +80,14 @@ def parse_schema(text: str) -> Node:
 
 
 def with_variant(df: DataFrame, json_col: str, out: str) -> DataFrame:
-    """Adds the parsed record; text that is no JSON, or cut off, gives null. Unwraps level by level,
-    each in its own projection, so that an unwrapped text is computed once."""
-    df = df.withColumn(out, F.col(json_col))
-    for _ in range(MAX_ENCODINGS):
-        text = F.col(out)
-        df = df.withColumn(
-            out, F.when(F.ltrim(text).startswith('"'), F.try_variant_get(F.try_parse_json(text), "$", "string")).otherwise(text)
-        )
-    return df.withColumn(out, F.try_parse_json(F.col(out)))
+    """Adds the parsed record; text that is no JSON, or cut off, gives null. A record that was encoded as a JSON string, however
+    often, is unwrapped: each encoding doubles the marks before the innermost quotes, so a text of
+    n letters has log2(n) + 2 levels at most, and so many steps are made where it starts with a quote."""
+    quoted = lambda t: t.rlike(r'^[ \t\r\n]*"')
+    step = lambda t, _: F.when(quoted(t), F.try_variant_get(F.try_parse_json(t), "$", "string")).otherwise(t)
+    raw = F.col(json_col)
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.length(raw) + 1)).cast("int") + 2)
+    return df.withColumn(out, F.try_parse_json(F.when(quoted(raw), F.aggregate(steps, raw, step)).otherwise(raw)))
 
 
 def _literal(text: str) -> str:
@@ -144,61 +141,97 @@ def _nested(value: str) -> str:
     return f"(startswith(schema_of_variant({value}), 'OBJECT') or startswith(schema_of_variant({value}), 'ARRAY'))"
 
 
-class _Lister:
-    """Writes the expression that lists the objects, or the scalars, in the arrays of a tree; each lambda has names of its own."""
+@dataclass
+class _Place:
+    """An array's element in the schema, with what the rows there need to be exploded further."""
+
+    number: int
+    level: int
+    kind: str
+    node: Node
+
+
+class _Levels:
+    """Writes, level by level, the expression that turns a row into the rows of the arrays directly below it."""
+
+    def __init__(self, tree: Node, key: str, scalars: bool) -> None:
+        self.key, self.scalars = f"`{key}`", scalars
+        self.places = [_Place(0, 0, "$", tree)]
+        self.children: dict[int, list[str]] = {}
+        at = 0
+        while at < len(self.places):
+            self.children[at] = self._below(self.places[at])
+            at += 1
+        self.depth = max(p.level for p in self.places)
+
+    def _below(self, place: _Place) -> list[str]:
+        root = place.number == 0
+        if root:
+            parent, parent_key = "'$'", f"xxhash64({self.key}, '$')"
+        elif place.node.element is None:
+            parent, parent_key = "path", "node_key"
+        else:  # an array in an array is no object: what is in it belongs to the object around both
+            parent, parent_key = "if(form = 1, parent_path, path)", "if(form = 1, parent_key, node_key)"
+        out = []
 
-    def __init__(self, scalars: bool = False) -> None:
-        self.n = 0
-        self.scalars = scalars
+        def arrays(node: Node, value: str, path: str, kind: str) -> None:
+            for name, child in node.fields.items():
+                if child.has_array():
+                    arrays(child, _field(value, name), f"{path}.{name}" if path else name, name)
+            if node.element is not None:
+                new = _Place(len(self.places), place.level + 1, kind, node.element)
+                self.places.append(new)
+                out.append(self._elements(new, value, path, parent, parent_key, root))
 
-    def under(self, node: Node, value: str, path: str, parent: str, kind: str) -> list[str]:
-        """Expressions, each an array of nodes, for what lies below ``value``."""
-        out = []
-        for key, child in node.fields.items():
-            if child.has_array():
-                at = f"concat({path}, {_literal('.' + key)})" if path != "''" else _literal(key)
-                out += self.under(child, _field(value, key), at, parent, key)
-        if node.element is not None:
-            self.n += 1
-            x, i = f"x{self.n}", f"i{self.n}"
-            element = node.element
-            here = f"concat({path}, '[', {i}, ']')"
-            is_object = f"not is_variant_null({x})" if element.fields and element.element is None and element.scalar is None else f"startswith(schema_of_variant({x}), 'OBJECT')"
-            could = element.fields or (element.scalar is None and element.element is None)
-            parts = []
-            if self.scalars and element.scalar is not None:
-                parts.append(
-                    f"if({x} is null or is_variant_null({x}) or {_nested(x)}, cast(array() as {NODE_TYPE}), "
-                    f"array(struct({_literal(kind)} as kind, {here} as path, {parent} as parent_path, {i} as ordinal, {x} as value)))"
-                )
-            if could and not self.scalars:
-                parts.append(
-                    f"if({x} is null or not ({is_object}), cast(array() as {NODE_TYPE}), "
-                    f"array(struct({_literal(kind)} as kind, {here} as path, {parent} as parent_path, {i} as ordinal, {x} as value)))"
-                )
-            own = Node(fields=element.fields)
-            parts += self.under(own, x, here, here, kind)
-            if element.element is not None:
-                parts += self.under(Node(element=element.element), x, here, parent, kind)
-            if parts:
-                body = parts[0] if len(parts) == 1 else f"concat({', '.join(parts)})"
-                array = f"coalesce(try_variant_get({value}, '$', 'array<variant>'), array())"
-                out.append(f"flatten(transform({array}, ({x}, {i}) -> {body}))")
+        arrays(place.node, "value", "", place.kind)
         return out
 
+    def _elements(self, place: _Place, array: str, path: str, parent: str, parent_key: str, root: bool) -> str:
+        node = place.node
+        before = f"{_literal(path)}, " if root else f"path, {_literal('.' + path)}, " if path else "path, "
+        could_be_object = bool(node.fields) or (node.scalar is None and node.element is None)
+        if could_be_object and node.element is None and node.scalar is None:
+            form = "if(is_variant_null(x), 3, 0)"
+        else:
+            form = "case when x is null or is_variant_null(x) then 3 when startswith(schema_of_variant(x), 'OBJECT') then 0 when startswith(schema_of_variant(x), 'ARRAY') then 1 else 2 end"
+        row = (
+            f"transform(coalesce(try_variant_get({array}, '$', 'array<variant>'), array()), (x, i) -> struct({place.number} as place, {form} as form, {_literal(place.kind)} as kind, "
+            f"concat({before}'[', i, ']') as path, {parent} as parent_path, i as ordinal, 0L as node_key, {parent_key} as parent_key, x as value))"
+        )
+        wanted = [f for f, wants in ((0, could_be_object), (1, node.element is not None), (2, self.scalars)) if wants]
+        return f"filter({row}, r -> r.value is not null and r.form in ({', '.join(map(str, wanted or [-1]))}))"
+
+    def explode(self, rows: DataFrame) -> DataFrame:
+        names = [f.split(":")[0] for f in ROW.split(",")]
+        own = f"array(struct({', '.join(names)}))"
+        for level in range(self.depth):
+            at = {p.number: self.children[p.number] for p in self.places if p.level == level and self.children[p.number]}
+            whole = lambda parts: parts[0] if len(parts) == 1 else f"concat({', '.join(parts)})"
+            if level == 0:
+                listed = whole(at[0])
+            else:
+                listed = f"concat({own}, case place {' '.join(f'when {n} then {whole(parts)}' for n, parts in at.items())} else cast(array() as array<struct<{ROW}>>) end)"
+            rows = rows.select(self.key, F.expr(f"inline({listed})"))
+            rows = rows.withColumn("node_key", F.expr(f"if(place in ({', '.join(str(p.number) for p in self.places if p.level == level + 1)}), xxhash64({self.key}, path), node_key)"))
+        return rows
+
 
 def nodes(df: DataFrame, key: str, variant: str, tree: Node | None = None, scalars: bool = False) -> DataFrame:
-    """(key, kind, path, parent_path, ordinal, value) of each object that is an element of an array.
+    """(key, kind, path, parent_path, ordinal, node_key, parent_key, value) of each object that is an element of an array.
 
     ``kind`` is the name of the array that holds the object, ``path`` is unique within the record,
-    ``parent_path`` is that of the nearest enclosing object in an array, else ``$``. Null elements
+    ``parent_path`` is that of the nearest enclosing object in an array, else ``$``; ``node_key`` and ``parent_key`` are
+    their surrogate keys, hashes of record key and path. Null elements
     keep their position and give no row; empty, null and missing arrays give none; records that are
     null or cannot be parsed give none. With ``scalars``, of each scalar that is an element of an array instead.
     """
     tree = tree or infer(df, variant)
-    parts = _Lister(scalars).under(tree, variant, "''", "'$'", "$")
-    listed = f"concat({', '.join(parts)})" if parts else f"cast(array() as {NODE_TYPE})"
-    return df.where(F.col(variant).isNotNull()).select(F.col(key), F.expr(f"inline({listed})"))
+    levels = _Levels(tree, key, scalars)
+    if not levels.depth:
+        tree = Node(element=Node(fields={"none": Node(scalar="STRING")}))  # no array anywhere: an array of the records themselves gives no row either
+        levels = _Levels(tree, key, scalars)
+    rows = levels.explode(df.where(F.col(variant).isNotNull()).select(F.col(key), F.col(variant).alias("value")))
+    return rows.where(F.col("form") == (2 if scalars else 0)).select(key, "kind", "path", "parent_path", "ordinal", "node_key", "parent_key", "value")
 
 
 def _leaves(node: Node) -> dict[tuple[str, ...], bool]:
@@ -238,16 +271,16 @@ def _kinds(tree: Node) -> tuple[dict[str, dict[tuple[str, ...], bool]], dict[str
 def flat_tables(df: DataFrame, key: str, json_col: str) -> dict[str, DataFrame]:
     """One flat table per kind of object, and ``$`` for the records themselves.
 
-    Each has ``rec_key, path, parent_path, ordinal`` and the kind's scalar fields as strings; fields of
+    Each has the record's key, ``path, parent_path, ordinal, node_key, parent_key`` and the kind's scalar fields as strings; fields of
     sub-objects, at any depth, are named ``object.field`` with the dots written as ``_``. A field that
-    clashes with one of the four key columns gets a trailing underscore. An array of scalars gives a
+    clashes with one of the key columns gets a trailing underscore. An array of scalars gives a
     table of its name with ``value``, or its name and ``_values`` where objects stand in arrays of that
     name too. Objects in a record that is an array itself are in ``$[]``.
     """
     parsed = with_variant(df.select(key, json_col), json_col, "__v")
     tree = infer(parsed, "__v")
     rows = nodes(parsed, key, "__v", tree)
-    taken = {key.lower(), "path", "parent_path", "ordinal"}
+    taken = {key.lower(), "path", "parent_path", "ordinal", "node_key", "parent_key"}
 
     def columns(fields: dict[tuple[str, ...], bool], value: str) -> list[Column]:
         seen = set(taken)
@@ -267,7 +300,7 @@ def flat_tables(df: DataFrame, key: str, json_col: str) -> dict[str, DataFrame]:
         return out
 
     objects, scalars = _kinds(tree)
-    base = (key, "path", "parent_path", "ordinal")
+    base = (key, "path", "parent_path", "ordinal", "node_key", "parent_key")
     tables = {kind if kind != "$" else "$[]": rows.where(F.col("kind") == kind).select(*base, *columns(fields, "value")) for kind, fields in objects.items()}
     values = nodes(parsed, key, "__v", tree, scalars=True)
     for kind in scalars:
@@ -275,7 +308,7 @@ def flat_tables(df: DataFrame, key: str, json_col: str) -> dict[str, DataFrame]:
         while name in tables or name == "$":
             name += "_values"
         tables[name] = values.where(F.col("kind") == kind).select(*base, *columns({(): False}, "value"))
-    tables["$"] = parsed.where(F.col("__v").isNotNull()).select(key, F.lit("$").alias("path"), *columns(_leaves(tree), "__v"))
+    tables["$"] = parsed.where(F.col("__v").isNotNull()).select(key, F.lit("$").alias("path"), F.xxhash64(key, F.lit("$")).alias("node_key"), *columns(_leaves(tree), "__v"))
     return tables
 
 

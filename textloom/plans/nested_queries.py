@@ -35,7 +35,7 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def _kind(kind: str):
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        return nested.flat_tables(table(spark, folder, "messages", "row_id", "raw"), "row_id", "raw")[kind]
+        return nested.flat_tables(table(spark, folder, "messages", "row_id", "raw"), "row_id", "raw")[kind].drop("node_key", "parent_key")
 
     run.__doc__ = f"The flat table of the records' {kind}."
     return run
