@@ -129,12 +129,21 @@ def cosine(a: Column | str, b: Column | str) -> Column:
     return F.when(norm > 0, dot(c(a), c(b)) / norm).otherwise(0.0)
 
 
-def assignment(var: Column, value: Column, style: str) -> Column:
-    """A sentence that assigns a value to a variable, in one of four styles."""
-    forms = {"python": "%s = %s", "javascript": "let %s = %s;", "words": "the variable %s is assigned the value %s", "ruler": "VAR %s = %s"}
-    if style not in forms:
-        raise ValueError(f"style must be one of {sorted(forms)}")
-    return F.format_string(forms[style], var, value)
+#: The benchmark's wordings of an assignment, of a literal and of another variable.
+ASSIGNMENTS = {
+    "python": ("The following is one line of Python code to be executed in a Python interpreter:  `%s = '%s'`", "The following is one line of Python code to be executed in a Python interpreter:  `%s = %s`"),
+    "javascript": ("Here is one line of JavaScript code to be executed in a JavaScript interpreter:  `var %s = '%s'`", "Here is one line of JavaScript code to be executed in a JavaScript interpreter:  `var %s = %s`"),
+    "words": ("The special magic variable '%s' is equivalent to '%s'.", "The special magic variable '%s' is equivalent to '%s'."),
+    "ruler": ("VAR %s = '%s'", "VAR %s = VAR %s"),
+}
+
+
+def assignment(var: Column, value: Column, style: str, literal: Column) -> Column:
+    """A line that assigns a value to a variable, in one of four styles; ``literal`` tells whether it is a literal or another variable's name."""
+    if style not in ASSIGNMENTS:
+        raise ValueError(f"style must be one of {sorted(ASSIGNMENTS)}")
+    of_literal, of_variable = ASSIGNMENTS[style]
+    return F.when(literal, F.format_string(of_literal, var, value)).otherwise(F.format_string(of_variable, var, value))
 
 
 def conversation_html(messages: Column | str) -> Column:

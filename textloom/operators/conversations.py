@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textloom.functions.tokens import control, count_tokens, token_ids
+from textloom.operators.logprobs import leading_mass
 
 
 def message(role: str, content: Column | str) -> Column:
@@ -77,6 +78,48 @@ def to_element(conversations: DataFrame, family: str) -> DataFrame:
     return rows.select("conv_id", "input_ids", marked.alias("target_idx"))
 
 
+STORED = "array<struct<role:string,content:string,token_ids:array<int>,logprobs:array<struct<token_idx:int,token_id:int,logprob:double>>>>"
+
+
+def training_rows(chats: DataFrame, key: str, system: str, threshold: float = 0.99) -> DataFrame:
+    """(key, system_prompt, messages): chats whose messages carry a model's dense answer (role, content, token_ids, top_logprobs
+    array<array<double>>, top_ids array<array<int>>) as training rows, their log probabilities cut to the leading alternatives
+    that hold ``threshold`` of the mass. Messages without them keep null."""
+    def one(m: Column) -> Column:
+        flat = F.when(m["top_logprobs"].isNotNull(), leading_mass(m["top_logprobs"], m["top_ids"], threshold))
+        return F.struct(m["role"].alias("role"), m["content"].alias("content"), m["token_ids"].alias("token_ids"), flat.alias("logprobs"))
+
+    return chats.select(key, F.col(system).alias("system_prompt"), F.transform("messages", one).alias("messages"))
+
+
+def to_stored_element(conversations: DataFrame, family: str) -> DataFrame:
+    """(conv_id, input_ids, targets): messages (``STORED``) by the ids that the model gave, retokenised only where there are none.
+
+    A message that is not the last gets its end tokens unless its ids end with them already (a cut-off answer), and then those
+    that follow an end; the last one stays as it is. Targets are the stored log probabilities, moved to the place of their
+    message. Null messages are left out."""
+    messages = F.filter("messages", lambda m: m.isNotNull())
+    none = F.array().cast("array<int>")
+
+    def ids(m: Column, i: Column) -> Column:
+        start, end, extra = (control(family, m["role"], part) for part in (0, 1, 2))
+        own = F.concat(start, F.coalesce(m["token_ids"], token_ids(m["content"]).cast("array<int>"), none))
+        n = F.size(end)
+        ended = F.when(F.size(own) >= n, F.slice(own, F.greatest(F.size(own) - n + 1, F.lit(1)), n) == end).otherwise(False)
+        return F.when(i == F.size(messages) - 1, own).when(ended, F.concat(own, extra)).otherwise(F.concat(own, end, extra))
+
+    rows = conversations.select("conv_id", messages.alias("messages"), F.transform(messages, ids).alias("ids"))
+    sizes = F.transform("ids", lambda x: F.size(x))
+    before = lambda i: F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0), lambda s, x: s + x)
+
+    def moved(m: Column, i: Column) -> Column:
+        at = before(i) + F.size(control(family, m["role"], 0))
+        empty = F.array().cast("array<struct<token_idx:int,token_id:int,logprob:double>>")
+        return F.transform(F.coalesce(m["logprobs"], empty), lambda t: F.struct((t["token_idx"] + at).alias("token_idx"), t["token_id"].alias("token_id"), t["logprob"].alias("logprob")))
+
+    return rows.select("conv_id", F.flatten("ids").alias("input_ids"), F.flatten(F.transform("messages", moved)).alias("targets"))
+
+
 def fit_suffix(long: DataFrame, limit: int, size: Column) -> DataFrame:
     """The longest run of last messages of each conversation whose sizes sum to at most ``limit``."""
     after = Window.partitionBy("conv_id").orderBy(F.desc("turn")).rowsBetween(Window.unboundedPreceding, 0)

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import difflib
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
@@ -48,22 +49,23 @@ def best_option(df: DataFrame, text: str, options: str) -> DataFrame:
 
 def chrf(pairs: DataFrame, pred: str, ref: str, order: int = 6, beta: float = 2.0) -> DataFrame:
     """Corpus chrF, one row: character n-gram counts without blanks are summed over all pairs before they are divided.
-    The n-grams of a pair stay in its row, so that only sums of numbers are shuffled."""
-    clean = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"\s", "")
+    A pair's n-grams are compared in its row; only three sums an order and task are shuffled. Null texts count as empty; without any n-gram the score is 0, without any row null."""
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = {n: [0, 0, 0] for n in range(1, order + 1)}
+        for pdf in batches:
+            for p, r in zip(pdf["p"], pdf["r"], strict=True):
+                for n, t in total.items():
+                    a, b = (Counter(x[i : i + n] for i in range(len(x) - n + 1)) for x in (p, r))
+                    t[0] += sum(min(c, b[g]) for g, c in a.items() if g in b)
+                    t[1] += a.total()
+                    t[2] += b.total()
+        yield pd.DataFrame([(n, *t) for n, t in total.items()], columns=["n", "hit", "pred", "ref"])
 
-    def grams(c: Column, n: int) -> Column:
-        last = F.length(c) - n + 1
-        return F.when(last > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.substr(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-
-    rows = pairs.select(F.monotonically_increasing_id().alias("id"), clean(pred).alias("p"), clean(ref).alias("r"))
-    sums = []
-    for n in range(1, order + 1):
-        p = rows.select("id", F.explode(grams(F.col("p"), n)).alias("g"), F.lit(1).alias("a"), F.lit(0).alias("b"))
-        r = rows.select("id", F.explode(grams(F.col("r"), n)).alias("g"), F.lit(0).alias("a"), F.lit(1).alias("b"))
-        each = p.unionAll(r).groupBy("id", "g").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-        sums.append(each.agg(F.lit(n).alias("n"), F.sum(F.least("a", "b")).alias("hit"), F.sum("a").alias("pred"), F.sum("b").alias("ref")))
+    clean = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"\s", "")
+    each = pairs.select(clean(pred).alias("p"), clean(ref).alias("r")).mapInPandas(sums, "n long, hit long, pred long, ref long")
     share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
-    per = reduce(DataFrame.unionAll, sums).where((F.col("pred") > 0) | (F.col("ref") > 0)).select(share("hit", "pred").alias("precision"), share("hit", "ref").alias("recall"))
+    orders = each.groupBy("n").agg(*[F.sum(c).alias(c) for c in ("hit", "pred", "ref")])
+    per = orders.where((F.col("pred") > 0) | (F.col("ref") > 0)).select(share("hit", "pred").alias("precision"), share("hit", "ref").alias("recall"))
     mean = per.agg(F.avg("precision").alias("p"), F.avg("recall").alias("r"))
     f = (1 + beta**2) * F.col("p") * F.col("r") / (beta**2 * F.col("p") + F.col("r"))
     return mean.select(F.round(100 * F.when(F.col("p") + F.col("r") > 0, f).otherwise(0.0), 6).alias("chrf"))
@@ -79,14 +81,13 @@ def mean_scores(df: DataFrame, prefix: str) -> DataFrame:
 
 
 def slice_means(df: DataFrame, by: list[list[str]], scores: list[str]) -> DataFrame:
-    """Means of the scores for each set of grouping columns, in one job; rows with a null key are left out of that set.
+    """Means of the scores for each set of grouping columns, in one scan and one shuffle; rows with a null key are left out of that set.
     ``slice`` names the set, ``keys`` the group."""
-    parts = []
-    for cols in by:
-        own = df.where(reduce(Column.__and__, [F.col(c).isNotNull() for c in cols]))
-        key = F.concat_ws("/", *[F.col(c).cast("string") for c in cols]).alias("key")
-        parts.append(own.groupBy(F.lit("+".join(cols)).alias("slice"), key).agg(F.count("*").alias("n"), *[F.avg(s).alias(s) for s in scores]))
-    return reduce(DataFrame.unionAll, parts)
+    known = lambda cols: reduce(Column.__and__, [F.col(c).isNotNull() for c in cols])
+    place = lambda cols: F.struct(F.lit("+".join(cols)).alias("slice"), F.concat_ws("/", *[F.col(c).cast("string") for c in cols]).alias("key"))
+    sets = F.array_compact(F.array(*[F.when(known(cols), place(cols)) for cols in by]))
+    rows = df.select(F.explode(sets).alias("__at"), *scores)
+    return rows.groupBy("__at.slice", "__at.key").agg(F.count("*").alias("n"), *[F.avg(s).alias(s) for s in scores])
 
 
 def first_of(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

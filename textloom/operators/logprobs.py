@@ -5,7 +5,7 @@ Long form: keys, token_idx, rank, token_id, logprob. Everything is a window over
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -33,10 +33,47 @@ def reconstruct(sparse: DataFrame, keys: list[str], shapes: DataFrame, missing:
     return grid.join(sparse, on, "left").select(*on, F.coalesce("token_id", F.lit(MISSING_ID)).alias("token_id"), F.coalesce("logprob", F.lit(missing)).alias("logprob"))
 
 
-def alternatives(sparse: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, token_idx, alternatives): one row a token, its alternatives by descending probability, then id."""
+def alternatives(sparse: DataFrame, keys: list[str], positions: DataFrame | None = None) -> DataFrame:
+    """(keys, token_idx, alternatives): one row a token, its alternatives by descending probability, then id. ``positions``
+    (keys, token_idx) has the places of the sequences; those without alternatives come out with an empty list."""
     listed = F.collect_list(F.struct((-F.col("logprob")).alias("cost"), "token_id", "logprob"))
-    return sparse.groupBy(*keys, "token_idx").agg(F.transform(F.array_sort(listed), lambda a: F.struct(a["token_id"].alias("token_id"), a["logprob"].alias("logprob"))).alias("alternatives"))
+    rows = sparse.groupBy(*keys, "token_idx").agg(F.transform(F.array_sort(listed), lambda a: F.struct(a["token_id"].alias("token_id"), a["logprob"].alias("logprob"))).alias("alternatives"))
+    if positions is None:
+        return rows
+    on = [*keys, "token_idx"]
+    return positions.select(*on).join(rows, on, "left").select(*on, F.coalesce("alternatives", F.array().cast("array<struct<token_id:int,logprob:double>>")).alias("alternatives"))
+
+
+def pad_ragged(rows: Column | str, missing: float = MISSING_LOGPROB) -> Column:
+    """Rows of log probabilities of unlike lengths (array<array<double>>) filled up to the longest; null rows are filled whole."""
+    c = F.col(rows) if isinstance(rows, str) else rows
+    full = F.transform(c, lambda r: F.coalesce(r, F.array().cast("array<double>")))
+    longest = F.coalesce(F.array_max(F.transform(full, lambda r: F.size(r))), F.lit(0))
+    return F.transform(full, lambda r: F.concat(r, F.array_repeat(F.lit(missing), longest - F.size(r))))
+
+
+def padded_ids(padded: Column | str) -> Column:
+    """Ids for padded rows whose tokens have none."""
+    return F.transform(padded, lambda r: F.array_repeat(F.lit(MISSING_ID), F.size(r)))
+
+
+def leading_mass(logprobs: Column | str, ids: Column | str, threshold: float = 0.99) -> Column:
+    """As :func:`flatten_mass` for one sequence in its row: array<array<double>> and array<array<int>> of the same shape, as
+    array<struct<token_idx, token_id, logprob>>. Nothing is exploded or shuffled."""
+    if not 0 < threshold <= 1:
+        raise ValueError("threshold must be above 0 and at most 1")
+    c = lambda x: F.col(x) if isinstance(x, str) else x
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"))
+
+    def kept(row: Column) -> Column:  # how many lead up to the threshold; 1 if it is never reached
+        walked = F.aggregate(row, start, lambda s, x: F.struct((s["sum"] + F.exp(x)).alias("sum"), F.when(s["sum"] < threshold, s["n"] + 1).otherwise(s["n"]).alias("n")))
+        return F.when(walked["sum"] >= threshold, walked["n"]).otherwise(F.least(F.size(row), F.lit(1)))
+
+    def one(row: Column, i: Column) -> Column:
+        own = F.get(c(ids), i)
+        return F.transform(F.slice(row, F.lit(1), kept(row)), lambda x, j: F.struct(i.cast("int").alias("token_idx"), F.get(own, j).cast("int").alias("token_id"), x.alias("logprob")))
+
+    return F.flatten(F.transform(c(logprobs), one))
 
 
 def distillation_loss(targets: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,8 +1,9 @@
-"""Retrieval: BM25 over an inverted index, cosine similarity in blocks, and stitching of hits."""
+"""Retrieval: BM25, cosine similarity, and stitching of hits."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,26 +14,33 @@ from pyspark.sql.window import Window
 from textloom.functions.text import retrieval_terms
 
 
-def postings(chunks: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, tf, size): one row a term and chunk; size is the chunk's number of terms."""
-    rows = chunks.select(key, retrieval_terms(text).alias("w")).select(key, F.size("w").alias("size"), F.explode("w").alias("term"))
-    return rows.groupBy(key, "size", "term").agg(F.count("*").alias("tf"))
+MOST_BROADCAST = 200_000  # query terms, of at most some ten bytes each, that are sent to every executor
 
 
 def bm25(chunks: DataFrame, key: str, text: str, queries: DataFrame, query_key: str, query_text: str, *, k1: float = 1.5, b: float = 0.75, eps: float = 0.25) -> DataFrame:
     """(query, key, score) of every chunk that shares a term with a query; Okapi idf, negative ones replaced by ``eps`` times
-    the mean idf. Repeated query terms count as often as they occur. Only the terms of queries are joined."""
-    index = postings(chunks, key, text)
-    stats = chunks.select(F.size(retrieval_terms(text)).alias("s")).agg(F.count("*").alias("n"), F.avg("s").alias("avgdl"))
-    df = index.groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.crossJoin(F.broadcast(stats)).withColumn("idf", F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))  # stats: one row
+    the mean idf. Repeated query terms count as often as they occur.
+
+    The corpus is read twice: for the number of chunks with each term, where each chunk is counted under a term of its own
+    for their number and mean size, and for the scores. There the terms of the chunks meet those of the queries first, broadcast if they
+    are few enough, and only what is left is shuffled, once, by query and chunk.
+    """
+    each = chunks.select(key, retrieval_terms(text).alias("w"))
+    every = F.lit("\x00")
+    rows = each.select(F.size("w").alias("size"), F.explode(F.concat(F.array_distinct("w"), F.array(every))).alias("term"))
+    counts = rows.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term") == every, F.col("size"))).alias("sizes"))
+    stats = counts.where(F.col("term") == every).select(F.col("df").alias("n"), (F.col("sizes") / F.col("df")).alias("avgdl"))
+    raw = counts.where(F.col("term") != every).crossJoin(F.broadcast(stats)).withColumn("idf", F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))  # stats: one row
     mean = raw.agg(F.avg("idf").alias("mean"))
-    idf = raw.crossJoin(F.broadcast(mean)).select("term", F.when(F.col("idf") < 0, eps * F.col("mean")).otherwise(F.col("idf")).alias("idf"), "avgdl")
     asked = queries.select(query_key, F.explode(retrieval_terms(query_text)).alias("term")).groupBy(query_key, "term").agg(F.count("*").alias("times"))
-    wanted = asked.join(idf, "term")
+    few = asked.count() <= MOST_BROADCAST
+    idf = raw.join(F.broadcast(asked.select("term").distinct()) if few else asked.select("term").distinct(), "term", "left_semi").crossJoin(F.broadcast(mean))
+    wanted = asked.join(idf.select("term", F.when(F.col("idf") < 0, eps * F.col("mean")).otherwise(F.col("idf")).alias("idf"), "avgdl"), "term")
+    said = each.select(key, F.size("w").alias("size"), F.explode("w").alias("term")).join(F.broadcast(wanted) if few else wanted, "term")
     tf = F.col("tf")
     part = F.col("times") * F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("size") / F.col("avgdl")))
-    return index.join(wanted, "term").groupBy(query_key, key).agg(F.sum(part).alias("score"))
+    tfs = said.repartition(query_key, key).groupBy(query_key, key, "term", "times", "idf", "size", "avgdl").agg(F.count("*").alias("tf"))
+    return tfs.groupBy(query_key, key).agg(F.sum(part).alias("score"))
 
 
 def top_k(scores: DataFrame, query_key: str, key: str, score: Column | str, k: int) -> DataFrame:
@@ -51,33 +59,46 @@ def stitch(hits: DataFrame, query_key: str, key: str, text: str, separator: str
     return rows.groupBy(query_key).agg(F.array_join(F.transform(listed, lambda x: x["__piece"]), "").alias("text"))
 
 
-def cosine_top_k(vectors: DataFrame, key: str, vector: str, queries: DataFrame, query_key: str, query_vector: str, k: int, block: int = 2_000) -> DataFrame:
-    """(query, key, score, rank): exact cosine top-k of a stated query set against all rows, block by block.
+MOST_QUERY_BYTES = 64 << 20  # of the query vectors that are sent to every executor at once
+
+
+def cosine_top_k(vectors: DataFrame, key: str, vector: str, queries: DataFrame, query_key: str, query_vector: str, k: int) -> DataFrame:
+    """(query, key, score, rank): exact cosine top-k of a stated query set against all rows.
 
-    Both sides are laid in blocks of bounded size; each pair of blocks is one matrix product that keeps k rows a query, and
-    the kept rows are ranked. Null vectors and vectors without a length have similarity 0.
+    The query vectors are counted first and sent to the executors, in as many slices as their size asks for; the
+    corpus is scored where it lies, each task keeping ``k`` rows a query, and only these are ranked. Null vectors have no row, those without a length have similarity 0.
     """
-    def blocks(df: DataFrame, id_: str, v: str, name: str) -> DataFrame:
-        n = max(1, -(-df.count() // block))
-        rows = df.where(F.col(v).isNotNull()).select(F.col(id_).cast("long").alias("id"), F.col(v).cast("array<float>").alias("v"))
-        return rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias(name)).agg(F.collect_list(F.struct("id", "v")).alias(f"{name}_rows"))
-
-    pairs = blocks(vectors, key, vector, "d").crossJoin(blocks(queries, query_key, query_vector, "q")).select("d_rows", "q_rows")
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def matrix(rows: list) -> tuple[np.ndarray, np.ndarray]:
-            ids = np.array([r["id"] for r in rows], np.int64)
-            m = np.array([r["v"] for r in rows], np.float64)
-            norm = np.linalg.norm(m, axis=1, keepdims=True)
-            order = np.argsort(ids)
-            return ids[order], (m / np.where(norm > 0, norm, 1))[order]
-
-        for pdf in batches:
-            for d, q in zip(pdf["d_rows"], pdf["q_rows"], strict=True):
-                (di, dm), (qi, qm) = matrix(d), matrix(q)
-                s = np.round(qm @ dm.T, 6)
-                best = np.argsort(-s[:, ::-1], axis=1, kind="stable")[:, :k]  # ties to the higher key
-                best = s.shape[1] - 1 - best
-                yield pd.DataFrame({query_key: np.repeat(qi, best.shape[1]), key: di[best].ravel(), "score": np.take_along_axis(s, best, axis=1).ravel()})
-
-    return top_k(pairs.mapInPandas(score, f"`{query_key}` long, `{key}` long, score double"), query_key, key, "score", k)
+    asked = queries.where(F.col(query_vector).isNotNull()).select(F.col(query_key).cast("long").alias("id"), F.col(query_vector).cast("array<float>").alias("v"))
+    size = asked.agg(F.coalesce(F.sum(F.size("v").cast("long")), F.lit(0)).alias("n")).first()["n"] * 8
+    slices = max(1, -(-size // MOST_QUERY_BYTES))
+    rows = vectors.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v"))
+
+    def matrix(ids, vs) -> tuple[np.ndarray, np.ndarray]:  # noqa: ANN001
+        m = np.array([np.asarray(v, np.float64) for v in vs])
+        norm = np.linalg.norm(m, axis=1, keepdims=True)
+        return np.asarray(ids, np.int64), m / np.where(norm > 0, norm, 1)
+
+    def scored(part: int) -> DataFrame:
+        own = asked.where(F.pmod(F.xxhash64("id"), F.lit(slices)) == part).collect()  # MOST_QUERY_BYTES, about, at most
+        sent = rows.sparkSession.sparkContext.broadcast(matrix([r["id"] for r in own], [r["v"] for r in own]) if own else None)
+
+        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            if sent.value is None or k < 1:
+                return
+            qi, qm = sent.value
+            ids = scores = None
+            for pdf in batches:
+                if len(pdf):
+                    di, dm = matrix(pdf["id"], pdf["v"])
+                    s = np.round(qm @ dm.T, 6)
+                    all_ids, all_s = np.broadcast_to(di, s.shape), s
+                    if ids is not None:
+                        all_ids, all_s = np.concatenate((ids, all_ids), axis=1), np.concatenate((scores, s), axis=1)
+                    best = np.lexsort((-all_ids, -all_s), axis=1)[:, :k]  # ties to the higher key
+                    ids, scores = np.take_along_axis(all_ids, best, axis=1), np.take_along_axis(all_s, best, axis=1)
+            if ids is not None:
+                yield pd.DataFrame({query_key: np.repeat(qi, ids.shape[1]), key: ids.ravel(), "score": scores.ravel()})
+
+        return rows.mapInPandas(score, f"`{query_key}` long, `{key}` long, score double")
+
+    return top_k(reduce(DataFrame.unionAll, [scored(i) for i in range(slices)]), query_key, key, "score", k)

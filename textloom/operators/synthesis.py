@@ -89,6 +89,33 @@ def haystack_fit(sentences: DataFrame, doc: str, pos: str, text: str, budget: in
     return rows.where(F.col("cum") + reserve <= budget).groupBy(doc).agg(F.count("*").alias("sentences"), F.max("cum").alias("tokens"))
 
 
+def haystack_size(units: DataFrame, doc: str, pos: str, text: str, budget: int, reserve: int) -> DataFrame:
+    """(doc, units, cycles, tokens): how many units of each document, which is said again from its beginning as often as needed, fit in
+    ``budget`` tokens with ``reserve`` kept free. Running sums take the place of a search: whole cycles first, then the last one's beginning.
+    Documents without tokens have no row."""
+    room = budget - reserve
+    w = Window.partitionBy(doc).orderBy(pos)
+    rows = units.select(doc, pos, count_tokens(text).alias("t")).withColumn("cum", F.sum("t").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("i", F.row_number().over(w))
+    whole = Window.partitionBy(doc)
+    rows = rows.withColumn("all", F.sum("t").over(whole)).withColumn("n", F.count("*").over(whole)).where((F.col("all") > 0) & (F.lit(room) > 0))
+    cycles = F.floor(F.lit(room) / F.col("all"))
+    fits = F.col("cum") <= F.lit(room) - cycles * F.col("all")
+    return rows.groupBy(doc).agg(
+        (F.first(cycles * F.col("n")) + F.count(F.when(fits, 1))).alias("units"), F.first(cycles).cast("long").alias("cycles"),
+        (F.first(cycles * F.col("all")) + F.coalesce(F.max(F.when(fits, F.col("cum"))), F.lit(0))).cast("long").alias("tokens"),
+    )
+
+
+def shrink_to_fit(samples: DataFrame, units: Column | str, tokens: Column | str, budget: int, tokens_per_unit: Column | str, step: int) -> DataFrame:
+    """Adds ``used``: the units of each sample, taken back by ``step`` as often as its ``tokens`` are above the budget, in one
+    expression; at least ``step`` are left, or all where there are fewer. A sample that still does not fit has null."""
+    c = lambda x: F.col(x) if isinstance(x, str) else x
+    n, size, each = c(units), c(tokens), c(tokens_per_unit)
+    over = F.greatest(size - budget, F.lit(0))
+    used = n - F.ceil(over / (each * step)) * step
+    return samples.withColumn("used", F.when(over == 0, n).when((n > step) & (used >= F.least(n, F.lit(step))), used).cast("long"))
+
+
 def needles(spark: SparkSession, keys: int, values: int, seed: str) -> DataFrame:
     """(needle, key, value): ``keys`` distinct keys with ``values`` numbers of seven digits each."""
     n = spark.range(keys * values)
@@ -143,7 +170,7 @@ def variable_chains(spark: SparkSession, chains: int, hops: int, seed: str, styl
     rows = rows.select("chain", "hop", F.upper(name(F.col("id"))).alias("var"), F.when(F.col("hop") > 0, F.upper(name(F.col("id") - 1))).alias("source"), literal.alias("literal"))
     value = F.coalesce("source", "literal")
     u = F.sort_array(F.transform(F.sequence(F.lit(0), F.lit(hops)), lambda h: draw(seed, F.lit("mix"), F.col("chain"), h)))
-    return rows.withColumn("line", assignment(F.col("var"), value, style)).withColumn("priority", F.element_at(u, F.col("hop").cast("int") + 1))
+    return rows.withColumn("line", assignment(F.col("var"), value, style, F.col("source").isNull())).withColumn("priority", F.element_at(u, F.col("hop").cast("int") + 1))
 
 
 def resolve_chains(edges: DataFrame, hops: int) -> DataFrame:

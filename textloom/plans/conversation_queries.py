@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from textloom.functions.tokens import VOCABULARY, count_tokens
+from textloom.functions.tokens import VOCABULARY, count_tokens, token_ids
 from textloom.operators import conversations as C
 from textloom.plans.catalogue import query
 from textloom.sources.tables import table
@@ -107,6 +107,34 @@ def _element(family: str):
 query("element_qwen", _element_sql("qwen", {"user": [151644, 872, 198], "assistant": [151644, 77091, 198], "system": [151644, 8948, 198]}, [151645], [198]))(_element("qwen"))
 query("element_llama", _element_sql("llama", {"user": [128006, 882, 128007, 271], "assistant": [128006, 78191, 128007, 271], "system": [128006, 9125, 128007, 271]}, [128009], []))(_element("llama"))
 
+# Stored tokens: every second answer's ids end with the end token, every third prompt has ids of its own; each answer's first five tokens have a log probability.
+_STORED_SQL = _LONG + f""", m AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) = count(*) OVER (PARTITION BY conv_id) AS is_last, turn, role, CASE role WHEN 'user' THEN [151644, 872, 198] WHEN 'assistant' THEN [151644, 77091, 198] WHEN 'system' THEN [151644, 8948, 198] ELSE [] END AS s,
+    list_concat(list_transform(regexp_extract_all(coalesce(content, ''), '\\S+'), lambda w: CAST(CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % {VOCABULARY} AS INTEGER)), CASE WHEN role = 'assistant' AND conv_id % 2 = 0 THEN [151645] ELSE [] END) AS o FROM long),
+    tok AS (SELECT *, list_concat(s, o, CASE WHEN is_last THEN [] WHEN role = 'assistant' AND conv_id % 2 = 0 THEN [198] WHEN role IN ('user', 'assistant', 'system') THEN [151645, 198] ELSE [] END) AS ids FROM m),
+    pos AS (SELECT *, coalesce(sum(len(ids)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM tok),
+    t AS (SELECT conv_id, base + len(s) + i AS place FROM pos, LATERAL (SELECT unnest(range(0, least(len(o), 5))) AS i) WHERE role = 'assistant')
+    SELECT conv_id, CAST(sum(len(ids)) AS INTEGER) AS n, CAST(sum(list_sum(ids)) AS BIGINT) AS id_sum, CAST(coalesce(any_value(tn), 0) AS INTEGER) AS targets, CAST(coalesce(any_value(ts), 0) AS BIGINT) AS target_sum
+    FROM pos LEFT JOIN (SELECT conv_id, count(*) AS tn, sum(place) AS ts FROM t GROUP BY conv_id) USING (conv_id) GROUP BY conv_id"""
+
+
+@query("element_stored", _STORED_SQL)
+def element_stored(spark, folder):
+    """Training elements by the ids that the model gave, with its log probabilities at their places."""
+    def stored(m):
+        ids = token_ids(F.coalesce(m["content"], F.lit(""))).cast("array<int>")
+        ids = F.when((m["role"] == "assistant") & (F.col("conv_id") % 2 == 0), F.concat(ids, F.array(F.lit(151645)))).otherwise(ids)
+        has = (m["role"] == "assistant") | (F.col("conv_id") % 3 == 0)
+        lp = F.when(m["role"] == "assistant", F.transform(F.slice(ids, 1, 5), lambda t, i: F.struct(i.cast("int").alias("token_idx"), t.alias("token_id"), (-0.1 * (i + 1)).cast("double").alias("logprob"))))
+        return F.struct(m["role"].alias("role"), m["content"].alias("content"), F.when(has, ids).alias("token_ids"), lp.alias("logprobs"))
+
+    conv = _conv(spark, folder)
+    rows = conv.select("conv_id", F.transform("messages", lambda m: F.when(m.isNotNull(), stored(m))).cast(C.STORED).alias("messages"))
+    out = C.to_stored_element(rows, "qwen")
+    total = F.aggregate("input_ids", F.lit(0).cast("long"), lambda n, x: n + x)
+    places = F.aggregate("targets", F.lit(0).cast("long"), lambda n, x: n + x["token_idx"])
+    return out.select("conv_id", F.size("input_ids").alias("n"), total.alias("id_sum"), F.size("targets").alias("targets"), places.alias("target_sum"))
+
+
 _THREAD = """WITH long AS (SELECT row_id AS conv_id, i - 1 AS turn, messages[i].content AS content FROM threads, LATERAL (SELECT unnest(range(1, len(messages) + 1)) AS i) WHERE messages[i] IS NOT NULL)
 """
 

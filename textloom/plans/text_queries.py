@@ -162,6 +162,26 @@ def tool_dispatch(spark, folder):
     return out.groupBy("name").agg(F.count("*").alias("calls"), F.bool_and("success").alias("known"))
 
 
+@query(
+    "tool_run",
+    """WITH c AS (SELECT event_id, event_type AS name, CASE WHEN event_id % 11 = 0 THEN '[1]' ELSE props END AS arguments, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)
+    SELECT event_id, CASE WHEN event_id % 11 <> 0 AND name = 'click' THEN CAST(2 * k AS VARCHAR) WHEN event_id % 11 <> 0 AND name = 'view' AND k % 5 <> 0 THEN CAST(k + 1 AS VARCHAR) END AS response,
+    event_id % 11 <> 0 AND (name = 'click' OR name = 'view' AND k % 5 <> 0) AS success FROM c""",
+)
+def tool_run(spark, folder):
+    """Calls of two tools, grouped and run: one works, one fails on some arguments, other tools are unknown, some arguments are no object; each call keeps its row."""
+    from textloom.operators.tools import run_tools
+
+    def view(calls):
+        if any(a["k"] % 5 == 0 for a in calls):
+            raise RuntimeError("a multiple of five")
+        return [a["k"] + 1 for a in calls]
+
+    arguments = F.when(F.col("event_id") % 11 == 0, "[1]").otherwise(F.col("props"))
+    calls = table(spark, folder, "events", "event_id", "event_type", "props").select("event_id", F.col("event_type").alias("name"), arguments.alias("arguments"))
+    return run_tools(calls, {"click": lambda calls: [2 * a["k"] for a in calls], "view": view}).select("event_id", "response", "success")
+
+
 @query("tool_output_xml", "SELECT user_id, coalesce(string_agg('<tool_call>' || event_type || '</tool_call>', chr(10) ORDER BY event_id) FILTER (value >= 50), '') AS xml FROM events GROUP BY user_id")
 def tool_output_xml(spark, folder):
     """Outputs of successful calls (here: of values from 50) as text, in order, a line each."""
@@ -205,12 +225,19 @@ def config_hash(spark, folder):
     return table(spark, folder, "baseline_responses", "response_id", "text").select("response_id", F.substring(F.sha2(text, 256), 1, 8).alias("short_hash"), F.md5(text).alias("full_hash"))
 
 
-@query("assignment_styles", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'V' || event_id || ' = ' || user_id WHEN 1 THEN 'let V' || event_id || ' = ' || user_id || ';' WHEN 2 THEN 'the variable V' || event_id || ' is assigned the value ' || user_id ELSE 'VAR V' || event_id || ' = ' || user_id END AS line FROM events")
+_STYLES = """CASE event_id % 4 WHEN 0 THEN 'The following is one line of Python code to be executed in a Python interpreter:  `V' || event_id || ' = ' || q || v || q || '`'
+  WHEN 1 THEN 'Here is one line of JavaScript code to be executed in a JavaScript interpreter:  `var V' || event_id || ' = ' || q || v || q || '`'
+  WHEN 2 THEN 'The special magic variable ''V' || event_id || ''' is equivalent to ''' || v || '''.' ELSE 'VAR V' || event_id || ' = ' || CASE WHEN q = '' THEN 'VAR ' ELSE q END || v || q END"""
+
+
+@query("assignment_styles", f"SELECT event_id, {_STYLES} AS line FROM (SELECT event_id, CASE WHEN user_id % 2 = 0 THEN '''' ELSE '' END AS q, CASE WHEN user_id % 2 = 0 THEN '' ELSE 'V' END || user_id AS v FROM events)")
 def assignment_styles(spark, folder):
-    var, value = F.concat(F.lit("V"), F.col("event_id").cast("string")), F.col("user_id").cast("string")
-    out = F.when(F.col("event_id") % 4 == 0, T.assignment(var, value, "python"))
+    """Assignments in four wordings, of literals and of other variables."""
+    literal = F.col("user_id") % 2 == 0
+    var, value = F.concat(F.lit("V"), F.col("event_id").cast("string")), F.concat(F.when(literal, "").otherwise("V"), F.col("user_id").cast("string"))
+    out = F.when(F.col("event_id") % 4 == 0, T.assignment(var, value, "python", literal))
     for k, style in ((1, "javascript"), (2, "words"), (3, "ruler")):
-        out = out.when(F.col("event_id") % 4 == k, T.assignment(var, value, style))
+        out = out.when(F.col("event_id") % 4 == k, T.assignment(var, value, style, literal))
     return table(spark, folder, "events", "event_id", "user_id").select("event_id", out.alias("line"))
 
 

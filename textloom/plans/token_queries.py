@@ -72,9 +72,9 @@ def section_pack(spark, folder):
     return P.pack_lines(lines, "row_id", "ord", "n", 4000)
 
 
-# Synthetic log probabilities: the embedding's values in groups of five are logits, of which a sixth, lost, one takes its share.
+# Synthetic log probabilities: the embedding's values in groups of five, the last one of four, are logits, of which one more, lost, takes its share.
 _K = 5
-_DENSE = f"""WITH v AS (SELECT vec_id, i - 1 AS j, CAST(embedding[i] AS DOUBLE) * 3 AS x FROM embeddings, LATERAL (SELECT unnest(range(1, 61)) AS i)),
+_DENSE = f"""WITH v AS (SELECT vec_id, i - 1 AS j, CAST(embedding[i] AS DOUBLE) * 3 AS x FROM embeddings, LATERAL (SELECT unnest(range(1, len(embedding) + 1)) AS i)),
 z AS (SELECT vec_id, j // {_K} AS token_idx, x, j, ln(sum(exp(x)) OVER (PARTITION BY vec_id, j // {_K}) + CASE WHEN (j // {_K}) % 3 = 0 THEN 1.0 ELSE 0.001 END) AS norm FROM v),
 d AS (SELECT vec_id, CAST(token_idx AS INTEGER) AS token_idx, CAST(row_number() OVER (PARTITION BY vec_id, token_idx ORDER BY x DESC, j) - 1 AS INTEGER) AS rank, CAST(j AS INTEGER) AS token_id, x - norm AS logprob FROM z),
 f AS (SELECT *, sum(exp(logprob)) OVER (PARTITION BY vec_id, token_idx ORDER BY rank ROWS UNBOUNDED PRECEDING) AS cum, sum(exp(logprob)) OVER (PARTITION BY vec_id, token_idx) AS mass FROM d),
@@ -85,7 +85,7 @@ s AS (SELECT vec_id, token_idx, rank, token_id, logprob FROM f WHERE rank = 0 OR
 def _dense(spark, folder):
     from pyspark.sql.window import Window
 
-    v = table(spark, folder, "embeddings", "vec_id", "embedding").select("vec_id", F.posexplode(F.slice("embedding", 1, 60)).alias("j", "e"))
+    v = table(spark, folder, "embeddings", "vec_id", "embedding").select("vec_id", F.posexplode("embedding").alias("j", "e"))
     v = v.select("vec_id", "j", F.floor(F.col("j") / _K).cast("int").alias("token_idx"), (F.col("e").cast("double") * 3).alias("x"))
     token = Window.partitionBy("vec_id", "token_idx")
     lost = F.when(F.col("token_idx") % 3 == 0, 1.0).otherwise(0.001)
@@ -102,10 +102,10 @@ def logprob_flatten(spark, folder):
 @query(
     "logprob_reconstruct",
     _DENSE + f"""SELECT g.vec_id, CAST(g.token_idx AS INTEGER) AS token_idx, CAST(g.rank AS INTEGER) AS rank, coalesce(s.token_id, -1) AS token_id, round(coalesce(s.logprob, -1000.0), 6) AS logprob
-    FROM (SELECT vec_id, t AS token_idx, r AS rank FROM embeddings, LATERAL (SELECT unnest(range(0, 12)) AS t), LATERAL (SELECT unnest(range(0, {_K})) AS r)) g LEFT JOIN s USING (vec_id, token_idx, rank)""",
+    FROM (SELECT vec_id, t AS token_idx, r AS rank FROM embeddings, LATERAL (SELECT unnest(range(0, 13)) AS t), LATERAL (SELECT unnest(range(0, {_K})) AS r)) g LEFT JOIN s USING (vec_id, token_idx, rank)""",
 )
 def logprob_reconstruct(spark, folder):
-    shapes = table(spark, folder, "embeddings", "vec_id").select("vec_id", F.lit(12).alias("tokens"), F.lit(_K).alias("k"))
+    shapes = table(spark, folder, "embeddings", "vec_id").select("vec_id", F.lit(13).alias("tokens"), F.lit(_K).alias("k"))
     return L.reconstruct(L.flatten_mass(_dense(spark, folder), ["vec_id"], 0.9), ["vec_id"], shapes).withColumn("logprob", F.round("logprob", 6))
 
 
@@ -116,6 +116,35 @@ def logprob_alternatives(spark, folder):
     return rows.select("vec_id", "token_idx", F.size("alternatives").cast("long").alias("n"), ids.alias("ids"), F.round(F.exp(F.get("alternatives", 0)["logprob"]), 6).alias("top_probability"))
 
 
+@query("logprob_in_row", _DENSE + "SELECT vec_id, count(*) AS n, CAST(sum(token_id) AS BIGINT) AS ids, round(sum(logprob), 5) AS total FROM s GROUP BY vec_id")
+def logprob_in_row(spark, folder):
+    """The same leading alternatives, kept in one expression a sequence: nothing is exploded or shuffled after the rows are made."""
+    from pyspark.sql.window import Window  # noqa: F401
+
+    dense = _dense(spark, folder).groupBy("vec_id", "token_idx").agg(F.array_sort(F.collect_list(F.struct("rank", "token_id", "logprob"))).alias("a"))
+    rows = dense.groupBy("vec_id").agg(F.array_sort(F.collect_list(F.struct("token_idx", "a"))).alias("t"))
+    each = lambda f: F.transform("t", lambda x: F.transform(x["a"], lambda a: a[f]))
+    kept = L.leading_mass(F.col("lp"), F.col("ids"), 0.9)
+    rows = rows.select("vec_id", each("logprob").alias("lp"), each("token_id").alias("ids")).select("vec_id", kept.alias("k"))
+    total = lambda f, zero: F.aggregate("k", F.lit(zero), lambda s, x: s + x[f])
+    return rows.select("vec_id", F.size("k").cast("long").alias("n"), F.aggregate("k", F.lit(0).cast("long"), lambda s, x: s + x["token_id"]).alias("ids"), F.round(total("logprob", 0.0), 5).alias("total"))
+
+
+@query(
+    "logprob_pad",
+    """WITH v AS (SELECT vec_id, i - 1 AS j, CAST(embedding[i] AS DOUBLE) AS x FROM embeddings, LATERAL (SELECT unnest(range(1, len(embedding) + 1)) AS i)), g AS (SELECT vec_id, j // 10 AS t, count(*) AS n, sum(x) AS x FROM v WHERE j % 10 <= vec_id % 7 + (j // 10) % 3 GROUP BY ALL)
+    SELECT vec_id, count(*) AS tokens, max(n) AS k, round(sum(x) - 1000.0 * sum(m - n), 4) AS total, CAST(-sum(m) AS BIGINT) AS ids FROM (SELECT *, max(n) OVER (PARTITION BY vec_id) AS m FROM g) GROUP BY vec_id""",
+)
+def logprob_pad(spark, folder):
+    """Ragged rows of values filled up to the longest, with ids that stand for none."""
+    e = table(spark, folder, "embeddings", "vec_id", "embedding").withColumn("v", F.col("embedding").cast("array<double>"))
+    width = lambda t: F.least(F.pmod("vec_id", F.lit(7)) + t % 3 + 1, F.lit(10), F.size("v") - t * 10).cast("int")
+    tokens = F.sequence(F.lit(0), F.floor((F.size("v") - 1) / 10).cast("int"))
+    rows = e.select("vec_id", F.transform(tokens, lambda t: F.slice("v", t * 10 + 1, width(t))).alias("rows")).select("vec_id", L.pad_ragged("rows").alias("p")).withColumn("i", L.padded_ids("p"))
+    flat = lambda c: F.aggregate(F.flatten(c), F.lit(0).cast("double"), lambda s, x: s + x)
+    return rows.select("vec_id", F.size("p").cast("long").alias("tokens"), F.size(F.get("p", 0)).cast("long").alias("k"), F.round(flat("p"), 4).alias("total"), flat("i").cast("long").alias("ids"))
+
+
 _STUDENT = _DENSE + ", t AS (SELECT vec_id, logprob, logprob - (token_id % 7) / 10.0 AS student_logprob FROM s), e AS (SELECT vec_id, count(*) AS n, sum(-exp(logprob) * student_logprob) AS ce FROM t GROUP BY vec_id)\n"
 
 
