@@ -7,7 +7,8 @@ over many sequences at once, step by step, as small matrix products in the proba
 
 *Skip edges* between two tokens share a potential (a skip-chain field). Inference is then loopy
 sum-product: a forward-backward pass over each chain, messages along its skip edges, and again for those
-chains whose messages moved, until none does or ``rounds`` are over.
+chains whose messages moved, until none does. Should messages swing, they are damped from the round on by which one could
+have walked along all edges of its chain, and stop after as many again.
 """
 
 from __future__ import annotations
@@ -71,7 +72,7 @@ class Scores:
             for i, k in enumerate(new):
                 number[k] = self.used + i
             self.used += len(new)
-        return np.fromiter((number[k] for k in keys), np.int64, len(keys))
+        return np.fromiter(map(number.__getitem__, keys), np.int64, len(keys))
 
     def unary(self, types: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Scores (token, label) of sequences laid end to end; no sequence sees into another."""
@@ -143,7 +144,7 @@ def factors(scores: np.ndarray) -> np.ndarray:
     return np.exp(np.clip(scores - scores.max(axis=1, keepdims=True), -30, 0))
 
 
-def infer(field: Field, unary: np.ndarray, lengths: np.ndarray, edges: np.ndarray | None = None, rounds: int = 3, tolerance: float = 0.02) -> np.ndarray:
+def infer(field: Field, unary: np.ndarray, lengths: np.ndarray, edges: np.ndarray | None = None, tolerance: float = 0.02) -> np.ndarray:
     """Marginals (token, label) of sequences laid end to end. edges: (2, n) tokens joined by skip edges, both of one sequence."""
     psi = factors(unary)
     lengths = np.asarray(lengths, np.int64)
@@ -160,9 +161,19 @@ def infer(field: Field, unary: np.ndarray, lengths: np.ndarray, edges: np.ndarra
     seq = np.repeat(np.arange(len(lengths)), lengths)
     to_j, to_i = np.ones((len(i), psi.shape[1]), np.float32), np.ones((len(i), psi.shape[1]), np.float32)
     live = np.arange(len(i))
-    for _ in range(rounds):
+    walk = np.bincount(seq[i], minlength=len(lengths)) + 2  # rounds after which a message has gone along every edge of its chain
+    turn = 0
+    while True:
+        turn += 1
+        live = live[turn <= 2 * walk[seq[i[live]]]]
+        if not len(live):
+            break
         new_j = _message(belief[i[live]], to_i[live], field.skip)
         new_i = _message(belief[j[live]], to_j[live], field.skip)
+        late = turn > walk[seq[i[live]]]
+        if late.any():
+            new_j[late] = np.sqrt(new_j[late] * to_j[live][late])
+            new_i[late] = np.sqrt(new_i[late] * to_i[live][late])
         moved = (np.abs(new_j - to_j[live]).max(axis=1) > tolerance) | (np.abs(new_i - to_i[live]).max(axis=1) > tolerance)
         if not moved.any():
             break

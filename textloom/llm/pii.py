@@ -2,9 +2,9 @@
 
 Tokens are labelled B/I/O for five kinds (email, phone, id_number, street, name). Chain features are words,
 shapes, small word lists and the like of a token and its two neighbours on each side. Distant tokens
-with the same word (case and accents aside) are joined by skip edges that favour one kind for both, so that
-a name recognised in a signature also counts in running text; loopy sum-product messages run until the
-labels of a document agree. The field is trained here, on text that a generator writes with its mentions marked.
+with the same word, or with the same part of a hyphenated word or a possessive (case and accents aside), are joined by skip edges that favour one kind for both, so that
+a name recognised in a signature also counts in running text; loopy sum-product messages run until none of
+a document moves any more. The field is trained here, on text that a generator writes with its mentions marked.
 
 A document is labelled as a whole and by itself: one narrow pass over Arrow batches, no shuffle.
 """
@@ -34,7 +34,7 @@ PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]
 _GAP = r"(?:[ \t]|\r?\n[\s>|]*)"
 #: The sign or word that stands for the at of an address, spelled-out forms included, and what follows it.
 _AT = re.compile(rf"(?:@|[\[({{]{_GAP}?[aA][tT]{_GAP}?[\])}}]{_GAP}?|(?<=\s)[aA][tT]{_GAP}(?=[\w-]+{_GAP}[dD][oO][tT]{_GAP}))[\w-]+(?:(?:\.|{_GAP}?[\[({{]{_GAP}?[dD][oO][tT]{_GAP}?[\])}}]{_GAP}?|{_GAP}[dD][oO][tT]{_GAP})[\w-]+)*")
-_LOCAL = re.compile(r"(?<![\w.+%-])[\w.+%-]*\Z|[\w.+%-]*\Z")
+_LOCAL = re.compile(r"[\w.+%-]*")  # of the text turned round
 #: Encoded data, a line break with the quote marks after it, a word, a code of letters and digits, a run of digits, any other sign.
 _TOKEN = re.compile(
     r"[^\W\d_]+(?:['’-][^\W\d_]+)*(?![\w+/=])"
@@ -56,7 +56,7 @@ def tokenize(text: str) -> list[str]:
         if text[a] != "@" and a > end and text[a - 1].isspace():
             a = len(text[end:a].rstrip(" \t\r\n>|")) + end
         b = a
-        a = _LOCAL.search(text, max(end, a - 100), a).start()
+        a -= _LOCAL.match(text[end:a][::-1]).end()
         if a == b:
             continue  # nothing before the at
         out += _TOKEN.findall(text, end, a)
@@ -110,31 +110,47 @@ def fold(word: str) -> str:
 _DIGITS = str.maketrans("0123456789", "9999999999")
 
 
-def _type(token: str) -> tuple[str, str]:
-    """A token's type key, and the word by which it is joined to its like, if it is capitalised; of an address,
-    its local part after a mark."""
+def _number(token: str) -> str:
+    """Feature names of a number: its digits, groups and signs."""
+    s = token.translate(_DIGITS)
+    groups = [len(g) for g in re.findall("9+", s)]
+    n, letter = sum(groups), s[-1].isalpha()
+    f = ["number", f"n{min(n, 16)}", f"groups{min(len(groups), 8)}", "g:" + ".".join(map(str, groups[:7]))]
+    f += ["plus"] * ("+" in s) + ["paren"] * ("(" in s or ")" in s) + ["slash"] * ("/" in s) + ["dots"] * ("." in s) + ["dash"] * ("-" in s) + ["spaces"] * (" " in s) + ["letter"] * letter
+    f += ["long"] * (n >= 7) + ["phonelen"] * (9 <= n <= 14) + ["one"] * (len(groups) == 1) + ["tiny"] * (n <= 2) + ["house"] * (n <= 3) + ["solid8"] * (len(groups) == 1 and n >= 8)
+    return "|".join([*f, *["long&letter"] * (letter and n >= 7)])
+
+
+def _type(token: str) -> tuple[str, tuple[str, ...]]:
+    """A token's type key, and the words by which it is joined to its like, the whole one first, if it is capitalised; of an
+    address, its local part after a mark."""
     if _WORD.fullmatch(token):
-        key = token if len(token) <= 30 else "Xx" if token[0].isupper() else "xx"
-        return key, _fold(token) if len(token) > 1 and token[0].isupper() else ""
+        if len(token) < 2 or not token[0].isupper():
+            return token, ()
+        whole = _fold(token)
+        bare = re.sub("['’]s$", "", whole)
+        parts = [x for x in bare.split("-") if len(x) > 2] if "-" in bare else []
+        return token, tuple(dict.fromkeys((whole, bare, *parts)))
     if "\n" in token and not token.strip("\r\n\t >|\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029\xa0"):
-        return "\n\n" if token.count("\n") > 1 else "\n", ""
+        return "\n\n" if token.count("\n") > 1 else "\n", ()
     if len(token) == 1 and not token.isalnum() or token[0] == "_" and not token.strip("_"):
-        return token[0], ""
+        return token[0], ()
     if len(token) >= 40 and re.fullmatch(r"[A-Za-z0-9+/=]+", token):
-        return "\x07", ""
+        return "\x07", ()
     if _CODE.fullmatch(token):
-        return "\x06" + re.sub(r"[^\W\d_]", "A", token[:16].translate(_DIGITS)), ""
+        shape = re.sub("9+", "9", re.sub(r"[^\W\d]+", "A", token.translate(_DIGITS)))
+        return f"\x06{min(len(token), 14)}|{shape}", ()
     if token[0].isdigit() or token[0] in "+(" and any(c.isdigit() for c in token):
         if "@" not in token and not re.search(r"(?i)[a-z]{2}", token):
-            return "\x05" + token[:26].translate(_DIGITS), ""
+            return "\x05" + _number(token), ()
     local = re.match(r"[\w.+%-]*", token).group()
-    return ("\x01@" if "@" in token else "\x01at"), "\x01" + fold(local)
+    return ("\x01@" if "@" in token else "\x01at"), ("\x01" + fold(local),)
 
 
 class _Types(dict):
     """Types by token, kept as far as memory should go."""
 
-    def __missing__(self, token: str) -> tuple[str, str]:
+    def __missing__(self, token: str) -> tuple[str, tuple[str, ...]]:
         if len(self) > 500_000:
             self.clear()
         found = _type(token)
@@ -155,13 +171,13 @@ class Text:
         self.tokens = tokenize(text)
         found = [_TYPES[t] for t in self.tokens]
         self.keys = [k for k, _ in found]
-        self.folded = [(i, w) for i, (_, w) in enumerate(found) if w]
+        self.folded = [(i, w) for i, (_, w) in enumerate(found) if w]  # by the words they are joined by
         if address_field:
             self.keys = [k + "\x04" for k in self.keys]
 
     def look_up(self, addresses: str) -> None:
         """Marks the words that occur in the addresses."""
-        for i, w in self.folded:
+        for i, (w, *_) in self.folded:
             if w in addresses and w[0] != "\x01":
                 self.keys[i] = "\x02" + self.keys[i]
 
@@ -187,18 +203,10 @@ def describe(key: str) -> list[str]:
     if key[0] == "\x07":
         return [*f, "blob"]
     if key[0] == "\x05":
-        s = key[1:]
-        groups = [len(g) for g in re.findall("9+", s)]
-        n = sum(groups)
-        f += ["number", f"n{min(n, 16)}", f"groups{min(len(groups), 8)}", "g:" + ".".join(map(str, groups[:7]))]
-        f += ["plus"] * ("+" in s) + ["paren"] * ("(" in s or ")" in s) + ["slash"] * ("/" in s) + ["dots"] * ("." in s) + ["dash"] * ("-" in s) + ["spaces"] * (" " in s) + ["letter"] * s[-1].isalpha()
-        f += ["long"] * (n >= 7) + ["phonelen"] * (9 <= n <= 14) + ["one"] * (len(groups) == 1) + ["tiny"] * (n <= 2) + ["house"] * (n <= 3) + ["solid8"] * (len(groups) == 1 and n >= 8)
-        if s[-1].isalpha() and n >= 7:
-            f.append("long&letter")
-        return f
+        return [*f, *key[1:].split("|")]
     if key[0] == "\x06":
-        s = key[1:]
-        return [*f, "code", f"code{min(len(s), 14)}", "c:" + re.sub(r"9+", "9", re.sub("A+", "A", s)), *(["code_caps"] if s[0] == "A" else [])]
+        size, shape = key[1:].split("|")
+        return [*f, "code", "code" + size, "c:" + shape, *(["code_caps"] if shape[0] == "A" else [])]
     word = key
     if not word[0].isalpha():
         return [*f, "sign", "s=" + word]
@@ -244,22 +252,25 @@ class Features:
 
 
 def skip_edges(texts: list[Text]) -> np.ndarray:
-    """Pairs of tokens, of all texts laid end to end: each capitalised word with its next occurrence in the text."""
-    a, b, base = [], [], 0
+    """Pairs of tokens, of all texts laid end to end: each capitalised word with its next occurrence in the text, and so with
+    the next one that shares a part of it."""
+    edges: dict[tuple[int, int], None] = {}
+    base = 0
     for t in texts:
         last: dict[str, int] = {}
-        for i, w in t.folded:
-            if w in last and w[0] != "\x01":
-                a.append(last[w])
-                b.append(base + i)
-            last[w] = base + i
+        for i, words in t.folded:
+            if words[0][0] != "\x01":
+                for w in words:
+                    if w in last:
+                        edges[last[w], base + i] = None
+                    last[w] = base + i
         base += len(t.keys)
-    return np.array([a, b], np.int64)
+    return np.array(list(edges), np.int64).reshape(-1, 2).T
 
 
 def address_words(*texts: Text) -> str:
     """The local parts of every address in the texts, where names are looked up."""
-    return " ".join(w[1:] for t in texts for _, w in t.folded if w[0] == "\x01")
+    return " ".join(w[1:] for t in texts for _, (w, *_) in t.folded if w[0] == "\x01")
 
 
 def spans(tokens: list[str], labels: np.ndarray) -> list[tuple[int, int, int]]:
