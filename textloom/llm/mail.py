@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from textloom.llm import crf
+from textloom.llm.gate import Gate
 from textloom.session import spread
 
 LABELS = ("new", "intro", "quoted", "forwarded", "signature", "notice")
@@ -57,12 +58,6 @@ ROLES = frozenset(
 STREETS = frozenset("street st road rd lane avenue ave drive close gardens terrace way hill court place square blvd boulevard rue calle plaza avenida box flat am".split())
 STREET = r"\b(?:street|st|road|rd|lane|avenue|ave|drive|close|gardens|terrace|way|hill|court|place|square|blvd|boulevard|rue|calle|plaza|avenida|p\.? ?o\.? box|flat)\b|^am \w+ \d"
 STREET_END = r"(?:straße|strasse|str\.) \d|(?:weg|gasse|platz) \d"
-#: Beginnings of words of which every notice has one, so that other lines need no search.
-NOTICE_STEMS = frozenset(
-    "confid vertra intend addres destin empfän richti error irrtüm erreur forbid prohib privil discla liabil respon secure attach regist compan handel geschä siège social before enviro think print virus viruse unsubs mailin list leave abmeld désabo darse receiv "
-    "opinio views unauth author mensaj messag e corre correo diese email commun supprim avertir elimin bórrel avise lösche benach intern usage uso contra suppri averti elimine share copy distri bestim unauth autori".split()
-)
-
 _MARK = re.compile(r"^\s*((?:(?:[>|»]|:>)\s?)+)")
 _DATE = r"\d{1,4}[./-]\d{1,2}[./-]\d{1,4}|\b(?:mon|tue|wed|thu|fri|sat|sun)\w*,? |\d{1,2}:\d{2}"
 
@@ -71,7 +66,7 @@ def _forms(flags: int, *pairs: tuple[str, str]) -> list[tuple[str, re.Pattern[st
     return [(name, re.compile(p, flags)) for name, p in pairs]
 
 
-#: Forms of a line's text without its quote marks, matched from its start, in lower case; of lines up to SHORT_LINE characters.
+#: Forms of a line's text without its quote marks, matched from its start, in lower case.
 FORMS = _forms(
     0,
     ("said_open", rf"(?:on|am|le|el|il|op) .*(?:{_DATE})"),
@@ -92,8 +87,6 @@ FORMS = _forms(
     ("ps", r"p\.? ?p?\.?s\b"),
     ("mail_only", r"<[^<> ]+@[^<> ]+>$"),
 )
-SHORT_LINE = 160
-#: Forms of lines of any length.
 ANY = _forms(0, ("bullet", r"(?:[-*•]|\d{1,2}[.)])\s+\S"), ("bracket", r"\["), ("lower", r"[a-zß-ÿ]"))
 #: Forms that need the case.
 CASED = _forms(
@@ -102,10 +95,13 @@ CASED = _forms(
     ("name_comma", r"[A-ZÀ-Ý][\w'’-]+(?: [A-ZÀ-Ý][\w'’-]+)?,\s*$"),
     ("notice_caps", r"[A-Z][A-Z ]{8,}:?\s*$"),
 )
-_SAID_END = re.compile(rf"(?:{SAID})\s*(?:am .*)?:?\s*$")
-_NOTICE, _DEVICE, _STREET, _STREET_END = (re.compile(x) for x in (NOTICE, DEVICE, STREET, STREET_END))
+SAID_END = rf"(?:{SAID})\s*(?:am .*)?:?\s*$"
+#: Forms looked for anywhere in a line, if its words allow them: the gate is derived from the patterns and leaves no match out.
+SEARCHED = {"said": SAID_END, "notice": NOTICE, "device": DEVICE}
+_SEARCHED = [(name, re.compile(x)) for name, x in SEARCHED.items()]
+GATE = Gate(list(SEARCHED.values()), lambda w: w.removeprefix("~") not in ("this", "my", "a", "the", "in", "is", "are", "on", "for", "of", "do", "no", "not", "only"))
+_STREET, _STREET_END = re.compile(STREET), re.compile(STREET_END)
 _WORDS, _STOPS = re.compile(r"[^\W\d_]+"), re.compile(r"[.?!…][\"')]*$")
-_DEVICE_WORDS = frozenset("sent written typed verstuurd get gesendet geschickt envoyé enviado téléchargez descarga".split())
 OTHER = ("said", "device", "notice", "role", "street", "digit", "end", "colon", "comma")
 NAMES = [*(n for n, _ in (*FORMS, *ANY, *CASED)), *OTHER]
 LINE = [
@@ -125,15 +121,9 @@ def _core(line: str) -> tuple[int, tuple[str, ...], frozenset[str], int]:
     low, n = core.lower(), len(core)
     words = frozenset(_WORDS.findall(low))
     found = [name for name, p in ANY if p.match(low)]
-    if n <= SHORT_LINE:
-        found += [name for name, p in FORMS if p.match(low)]
-        if not _DEVICE_WORDS.isdisjoint(words) and _DEVICE.search(low):
-            found.append("device")
-    tail = low[-SHORT_LINE:]
-    if _SAID_END.search(tail):
-        found.append("said")
-    if not NOTICE_STEMS.isdisjoint({w[:6] for w in words}) and _NOTICE.search(low):
-        found.append("notice")
+    found += [name for name, p in FORMS if p.match(low)]
+    if could := GATE.open(words):
+        found += [name for i, (name, p) in enumerate(_SEARCHED) if i in could and p.search(low)]
     if not ROLES.isdisjoint(words):
         found.append("role")
     if re.search(r"\d", low):
@@ -142,8 +132,7 @@ def _core(line: str) -> tuple[int, tuple[str, ...], frozenset[str], int]:
             found.append("street")
     if core:
         found += ["end"] * bool(_STOPS.search(low[-6:])) + ["colon"] * (low[-1] == ":") + ["comma"] * (low[-1] == ",")
-    if n <= 60:
-        found += [name for name, p in CASED if p.match(core)]
+    found += [name for name, p in CASED if p.match(core)]
     blanks = core.count(" ") + 1
     found.append("short" if n <= 30 else "mid" if n <= 60 else "long")
     if n <= 60:
