@@ -33,3 +33,9 @@ def age_days(name: Column, now: str) -> Column:
 def recency_weight(name: Column, size: Column, now: str, half_life: float) -> Column:
     """exp(-ln 2 * age / half life) * size ** 0.3."""
     return F.exp(-F.ln(F.lit(2.0)) * age_days(name, now) / F.lit(half_life)) * F.pow(size, F.lit(0.3))
+
+
+def more_recent(a: Column, b: Column) -> Column:
+    """Whether bucket ``a`` begins after bucket ``b``, by their names; never with a bucket of all time, null names count as such."""
+    start = lambda x: F.split_part(x, F.lit("_to_"), F.lit(1))
+    return F.coalesce((a != "all_time") & (b != "all_time") & (start(a) > start(b)), F.lit(False))

@@ -159,3 +159,49 @@ def json_paths(df: DataFrame, key: str, json: str, leaves_only: bool = False) ->
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(key, json).mapInPandas(run, f"`{key}` {kind}, ord int, path string, value string")
+
+
+def plain_config(config: dict | None) -> dict | str | None:
+    """A run's configuration with everything that JSON can't hold as text, to any depth: objects and the parts of lists as text, dicts in them by the same rule."""
+    if not isinstance(config, dict):
+        return None if config is None else str(config)
+    out: dict = {}
+    for k, v in config.items():
+        if isinstance(v, dict):
+            out[k] = plain_config(v)
+        elif isinstance(v, list | tuple):
+            out[k] = [plain_config(x) if isinstance(x, dict) else str(x) for x in v]
+        else:
+            out[k] = v if v is None or isinstance(v, str | int | float | bool) else str(v)
+    return out
+
+
+SLICES: dict = {}
+
+
+def slice_of(name: str):  # noqa: ANN201
+    """Registers a slice of a run's results (DataFrame -> DataFrame) under a name, for dashboards to pick."""
+    def add(f):  # noqa: ANN001, ANN202
+        SLICES[name] = f
+        return f
+
+    return add
+
+
+def slices(df: DataFrame, names: list[str]) -> dict[str, DataFrame]:
+    """The registered slices of those names; an unknown name is an error."""
+    if unknown := [n for n in names if n not in SLICES]:
+        raise KeyError(f"no slice {unknown}; there are {sorted(SLICES)}")
+    return {n: SLICES[n](df) for n in names}
+
+
+def cached(spark, folder: str, key: str, make) -> DataFrame:  # noqa: ANN001
+    """A result kept as a table in a shared folder under the hash of its key; made and written where it is missing or was left half written."""
+    import hashlib
+
+    path = f"{folder.rstrip('/')}/{hashlib.sha256(key.encode()).hexdigest()}.parquet"
+    jvm = spark._jvm
+    done = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

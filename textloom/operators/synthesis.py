@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from textloom.functions.hashing import draw
@@ -39,17 +40,26 @@ def batch_plan(spark: SparkSession, samples: int, batch: int) -> DataFrame:
     return spark.range(n).select(F.col("id").alias("batch_id"), F.least(F.lit(batch), F.lit(samples) - F.col("id") * batch).cast("int").alias("size"))
 
 
-def ask(df: DataFrame, system: str, prompt: str, out: str, model: Model) -> DataFrame:
-    """Adds the model's answers and an error column; a batch that fails keeps its rows with the error and no answer."""
-    schema = StructType([*df.schema.fields, StructField(out, StringType()), StructField(f"{out}_error", StringType())])
+def ask(df: DataFrame, system: str, prompt: str, out: str, model: Model, tries: int = 1, wait: float = 1.0) -> DataFrame:
+    """Adds the model's answers, an error and the usage (prompt_tokens, completion_tokens, tries). A batch that fails is asked again up to ``tries`` times, after ``wait``
+    seconds and twice as long each time; then its rows stay with the error and no answer."""
+    usage = StructType([StructField(n, IntegerType()) for n in ("prompt_tokens", "completion_tokens", "tries")])
+    schema = StructType([*df.schema.fields, StructField(out, StringType()), StructField(f"{out}_error", StringType()), StructField(f"{out}_usage", usage)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        size = lambda t: len((t or "").split())
         for pdf in batches:
-            try:
-                answers, error = model(pdf[system].tolist(), pdf[prompt].tolist()), None
-            except Exception as e:  # noqa: BLE001
-                answers, error = [None] * len(pdf), f"{type(e).__name__}: {e}"
-            yield pdf.assign(**{out: answers, f"{out}_error": [error] * len(pdf)})
+            answers, error, n = [None] * len(pdf), None, 0
+            for n in range(1, tries + 1):
+                try:
+                    answers, error = model(pdf[system].tolist(), pdf[prompt].tolist()), None
+                    break
+                except Exception as e:  # noqa: BLE001
+                    error = f"{type(e).__name__}: {e}"
+                    if n < tries:
+                        time.sleep(wait * 2 ** (n - 1))
+            used = [{"prompt_tokens": size(s) + size(p), "completion_tokens": size(a), "tries": n} for s, p, a in zip(pdf[system], pdf[prompt], answers, strict=True)]
+            yield pdf.assign(**{out: answers, f"{out}_error": [error] * len(pdf), f"{out}_usage": used})
 
     return df.mapInPandas(run, schema)
 
@@ -69,10 +79,60 @@ def self_study(contexts: DataFrame, key: str, text: str, *, per_context: int, ro
         for role, column in (("user", "__q"), ("assistant", "__a")):
             rows = ask(rows, text, "__say", column, model)
             rows = rows.withColumn("messages", F.concat("messages", F.array(F.struct(F.lit(role).alias("role"), F.col(column).alias("content")))))
-            rows = rows.withColumn("errors", F.concat("errors", F.array_compact(F.array(f"{column}_error")))).withColumn("__say", F.col(column)).drop(column, f"{column}_error")
+            rows = rows.withColumn("errors", F.concat("errors", F.array_compact(F.array(f"{column}_error")))).withColumn("__say", F.col(column)).drop(column, f"{column}_error", f"{column}_usage")
     return rows.drop("__say", text)
 
 
+def note_prompts(patients: DataFrame, key: str, notes: str, draws: DataFrame, draw_key: str, seed: str, least: int, most: int, size: int) -> DataFrame:
+    """(draw, key, n_notes, context): for each draw a patient, each as likely, and of ``least`` to ``most`` notes drawn without repetition (all if there are fewer), each cut to a window of
+    ``size`` letters. notes: map<string,string> of the patient's notes by id."""
+    from textloom.functions.text import ellipsis_chunk
+
+    numbered_, n = numbered(patients.select(F.pmod(F.xxhash64(key), F.lit(1 << 40)).alias("__h"), key, notes), ["__h", key], "__i")
+    if not n:
+        return draws.select(draw_key).limit(0).select(draw_key, F.lit(None).alias(key), F.lit(0).alias("n_notes"), F.lit("").alias("context"))
+    rows = draws.select(draw_key).withColumn("__i", draw(seed, F.lit("patient"), draw_key) % n).join(numbered_, "__i")
+    count = (F.lit(least) + draw(seed, F.lit("count"), draw_key) % (most - least + 1)).cast("int")
+    ranked = F.array_sort(F.transform(F.map_entries(notes), lambda e: F.struct(draw(seed, F.lit("note"), F.col(draw_key), e["key"]).alias("u"), e["key"].alias("id"), e["value"].alias("text"))))
+    start = lambda e: draw(seed, F.lit("start"), F.col(draw_key), e["id"]) % F.greatest(F.length(e["text"]) - size + 1, F.lit(1))
+    one = lambda e: F.concat(F.lit("<"), e["id"], F.lit(">\n"), ellipsis_chunk(e["text"], start(e), size), F.lit("\n</"), e["id"], F.lit(">"))
+    chosen = rows.withColumn("__n", F.slice(ranked, F.lit(1), F.least(count, F.size(notes))))
+    return chosen.select(draw_key, key, F.size("__n").alias("n_notes"), F.array_join(F.transform("__n", one), "\n").alias("context"))
+
+
+def excerpt(text: Column, seed: str, key: Column | str, least: int, most: int, description: str) -> Column:
+    """A drawn window of ``least`` to ``most`` tokens of a book under a line that says what it is; a shorter book as a whole."""
+    from textloom.functions.tokens import split_tokens
+
+    words = split_tokens(text)
+    size = F.least(F.lit(least) + draw(seed, F.lit("size"), key) % (most - least + 1), F.size(words)).cast("int")
+    start = (draw(seed, F.lit("start"), key) % (F.size(words) - size + 1)).cast("int")
+    return F.concat(F.lit(f"{description}\n\n"), F.array_join(F.slice(words, start + 1, size), " "))
+
+
+def word_lines(words: Column | str) -> Column:
+    """Lines ``source: target,target`` of a word list (map<string,array<string>>)."""
+    return F.transform(F.map_entries(words), lambda e: F.concat(e["key"], F.lit(": "), F.array_join(e["value"], ",")))
+
+
+#: The frames of a translation benchmark's context.
+BOOK_FRAME = ('"%s":\nSTART OF GRAMMAR BOOK\n', "\nEND OF GRAMMAR BOOK\n\nThe grammar book is now over.")
+WORD_FRAME = ("Now here is the bilingual word list:\n\nSTART OF WORD LIST\n", "\nEND OF WORD LIST\n\nThe bilingual word list is now over.")
+SENTENCE_FRAME = ("Here is the collection of parallel sentences:\n\nSTART OF PARALLEL SENTENCES\n", "\nEND OF PARALLEL SENTENCES\n\nThe collection of parallel sentences is now over.")
+
+
+def translation_context(book: Column, title: str, whole: bool, words: Column | None = None, pairs: Column | None = None) -> Column:
+    """A book, and after it a word list's lines and parallel sentences (array<struct<original,translation>>) where they are given, each in its frame."""
+    lead = "Here is the book, " if whole else "Here is a subset of the book, "
+    parts = [F.concat(F.lit(lead + BOOK_FRAME[0] % title), book, F.lit(BOOK_FRAME[1]))]
+    if words is not None:
+        parts.append(F.concat(F.lit(WORD_FRAME[0]), F.array_join(words, "\n"), F.lit(WORD_FRAME[1])))
+    if pairs is not None:
+        lines = F.transform(pairs, lambda p: F.concat(p["original"], F.lit(":"), p["translation"]))
+        parts.append(F.concat(F.lit(SENTENCE_FRAME[0]), F.array_join(lines, "\n"), F.lit(SENTENCE_FRAME[1])))
+    return F.concat_ws("\n\n", *parts)
+
+
 # ---------------------------------------------------------------- benchmarks
 
 

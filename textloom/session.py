@@ -31,12 +31,14 @@ def get_spark(cores: int | str = "*", shuffle_partitions: int = 8, **conf: str)
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder and read it from there.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; only a session without one (tests, a
-    laptop) gets a temporary folder of its own.
+    The folder is the cluster's ``spark.checkpoint.dir``, which all executors share. Only a session with a local master
+    (tests, a laptop) may be without one and gets a temporary folder of its own; on a cluster that is an error.
     """
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc._jsc.sc().isLocal():
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="textloom-checkpoint-"))
     return df.checkpoint(eager=True)
 

@@ -34,10 +34,20 @@ def sample_name(prefix: str, config: dict) -> str:
     return f"{prefix}-{hashlib.sha256(json.dumps(config, sort_keys=True).encode()).hexdigest()[:8]}.json"
 
 
-def preview(conversations: DataFrame, key: str, rows: int = 256, turns: int = 8, seed: str = "preview") -> DataFrame:
-    """At most ``rows`` drawn conversations, their messages as columns message_0 and on."""
+def write_sample(samples: list[dict], folder: str, prefix: str, config: dict) -> str:
+    """Writes a benchmark's samples with their configuration as JSON, under :func:`sample_name`; returns the path."""
+    path = os.path.join(folder, sample_name(prefix, config))
+    with open(path, "w") as f:
+        json.dump({"config": config, "samples": samples}, f)
+    return path
+
+
+def preview(conversations: DataFrame, key: str, rows: int = 256, turns: int | None = None, seed: str = "preview", metadata: str | None = None) -> DataFrame:
+    """At most ``rows`` drawn conversations, each of their messages as a column message_0 and on, up to the longest drawn or ``turns``; ``metadata`` as JSON text."""
     some = conversations.withColumn("__u", draw(seed, key)).orderBy("__u", key).limit(rows)
-    return some.select(key, *[F.get("messages", i)["content"].alias(f"message_{i}") for i in range(turns)])
+    turns = turns if turns is not None else some.agg(F.max(F.size("messages")).alias("n")).first()["n"] or 0
+    meta = [F.to_json(metadata).alias(metadata)] if metadata else []
+    return some.select(key, *meta, *[F.get("messages", i)["content"].alias(f"message_{i}") for i in range(turns)])
 
 
 def log_metrics(df: DataFrame, path: str, step: int) -> None:
