@@ -39,12 +39,17 @@ def answerable_questions(spark, folder):
     return rows.where(F.try_variant_get("v", "$.unanswerable", "boolean") == False).select("pair_id", "question", F.try_variant_get("v", "$.extractive_spans[0]", "string").alias("span"))  # noqa: E712
 
 
-@query("question_rewrite")
+_MOCK = lambda s, p: f"array_to_string(regexp_extract_all({s}, '\\S+')[1:5], ' ') || ' [' || length({p}) || ']'"
+
+
+@query("question_rewrite", f"""WITH q AS (SELECT pair_id, question, json_extract_string(old_answer, '$.extractive_spans[0]') AS span FROM qasper_pairs WHERE json_valid(old_answer) AND json_extract_string(old_answer, '$.unanswerable') = 'false'), a AS (SELECT *, coalesce(span, '') AS context FROM q),
+b AS (SELECT *, {_MOCK('context', "coalesce(question, '')")} AS new_question FROM a) SELECT *, {_MOCK('context', 'new_question')} AS new_answer FROM b""")
 def question_rewrite(spark, folder):
     """Answerable questions and then their answers rewritten by the (mock) model, one call after the other."""
     rows = answerable_questions(spark, folder).withColumn("context", F.coalesce("span", F.lit("")))
     rows = S.ask(rows, "context", "question", "new_question", S.mock_model)
-    return S.ask(rows, "context", "new_question", "new_answer", S.mock_model)
+    rows = S.ask(rows, "context", "new_question", "new_answer", S.mock_model)
+    return rows.select("pair_id", "question", "span", "context", "new_question", "new_answer")
 
 
 @query("context_truncate", "SELECT doc_id, len(w) AS tokens, array_to_string(w[1:200], ' ') AS context FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '\\S+') AS w FROM documents)")

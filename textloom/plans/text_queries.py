@@ -100,7 +100,7 @@ def whitespace_collapse(spark, folder):
     return table(spark, folder, "messages", "row_id", "content").where("content is not null").select("row_id", T.collapse("content").alias("content"))
 
 
-@query("latex_strip")
+@query("latex_strip", """SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: rtrim(replace(string_split(replace(x, '\\%', chr(1)), '%')[1], chr(1), '\\%'))), lambda x: trim(x) <> ''), chr(10)) AS text FROM documents WHERE source = 'tex_project'""")
 def latex_strip(spark, folder):
     """LaTeX documents without comments and empty lines."""
     rows = table(spark, folder, "documents", "doc_id", "text", "source").where("source = 'tex_project'")

@@ -47,7 +47,17 @@ def pack_truncate(spark, folder):
     return P.pack(_lengths(spark, folder), "ord", "length", _SIZE, "truncate").select("ord", "length", "bin")
 
 
-@query("pack_sharded_bins")
+@query(
+    "pack_sharded_bins",
+    f"""WITH RECURSIVE item AS (SELECT CAST(response_id % 8 AS INTEGER) AS shard, response_id AS ord, CAST(len(regexp_extract_all(coalesce(text, ''), '\\S+')) AS BIGINT) AS length, row_number() OVER (PARTITION BY response_id % 8 ORDER BY response_id) AS i FROM baseline_responses),
+    fold AS (
+      SELECT shard, i, length, CAST(0 AS BIGINT) AS bin, length AS filled FROM item WHERE i = 1
+      UNION ALL
+      SELECT t.shard, t.i, t.length, CASE WHEN f.filled > {_SIZE} OR (f.filled > 0 AND f.filled + t.length > {_SIZE}) THEN f.bin + 1 ELSE f.bin END,
+             CASE WHEN f.filled > {_SIZE} OR (f.filled > 0 AND f.filled + t.length > {_SIZE}) THEN t.length ELSE f.filled + t.length END
+      FROM fold f JOIN item t ON t.i = f.i + 1 AND t.shard = f.shard)
+    SELECT shard, bin, count(*) AS items, CAST(sum(length) AS BIGINT) AS tokens FROM fold GROUP BY shard, bin""",
+)
 def pack_sharded_bins(spark, folder):
     """Tokens of each bin with the items in eight shards: none above the size unless it is one item."""
     rows = P.pack(_lengths(spark, folder), "ord", "length", _SIZE, "pad", shards=8)
@@ -64,7 +74,14 @@ def pack_collate(spark, folder):
     return P.collate(rows, 512).select("shard", "bin", F.size("input_ids").alias("n"), total("input_ids").alias("ids"), total("position_ids").alias("positions"), total("element_ids").alias("elements"), F.size("target_idx").alias("targets"))
 
 
-@query("section_pack")
+@query(
+    "section_pack",
+    """WITH RECURSIVE s AS (SELECT row_id, k - 1 AS s, sections[k] AS x FROM papers, LATERAL (SELECT unnest(range(1, len(sections) + 1)) AS k) WHERE sections[k] IS NOT NULL), l AS (SELECT row_id, s * 10000 + j - 1 AS ord, len(regexp_extract_all(x.paragraphs[j], '\\S+')) AS n FROM s, LATERAL (SELECT unnest(range(1, len(x.paragraphs) + 1)) AS j) WHERE x.paragraphs[j] IS NOT NULL),
+    item AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY ord) AS i FROM l),
+    fold AS (SELECT row_id, i, ord, CAST(0 AS BIGINT) AS section, n AS filled FROM item WHERE i = 1 UNION ALL
+      SELECT t.row_id, t.i, t.ord, CASE WHEN f.filled + t.n + 20 > 4000 THEN f.section + 1 ELSE f.section END, CASE WHEN f.filled + t.n + 20 > 4000 THEN t.n ELSE f.filled + t.n END FROM fold f JOIN item t ON t.row_id = f.row_id AND t.i = f.i + 1)
+    SELECT row_id AS doc, CAST(ord AS BIGINT) AS ord, section, max(section) OVER (PARTITION BY row_id) + 1 AS "of" FROM fold""",
+)
 def section_pack(spark, folder):
     """Lines of the sections' paragraphs in sections of at most 4,000 tokens, numbered i of n."""
     rows = table(spark, folder, "papers", "row_id", "sections").select("row_id", F.posexplode("sections").alias("s", "x")).where("x is not null").select("row_id", "s", F.posexplode("x.paragraphs").alias("p", "text"))
