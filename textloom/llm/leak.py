@@ -5,7 +5,7 @@ by word; whole Arrow batches are turned into one array of word numbers, windows
 hashed together, looked up in the sorted hashes, and each hit is verified word for word.
 
 The set is sent to the workers only if its size, counted first, is within ``max_ngrams``; beyond it the
-windows of both sides are joined by their hash instead.
+windows of both sides are joined by 128 bits of hash instead.
 """
 
 from __future__ import annotations
@@ -114,30 +114,40 @@ def leaks(corpus: DataFrame, key_cols: list[str], text_cols: list[str], held_out
     return spread(corpus.select(*key_cols, *text_cols)).mapInArrow(scan, out)
 
 
-def _joined(corpus: DataFrame, key_cols: list[str], text_cols: list[str], held_out: DataFrame, item_col: str, held_cols: list[str], n: int) -> DataFrame:
-    """The same result for held-out sets of any size: windows of both sides meet in a shuffle by hash and
-    are compared word for word."""
+SALTS = 16  # parts that the windows of one n-gram are spread over where both sides meet
+
 
-    def grams(df: DataFrame, keep: list[str], cols: list[str]) -> DataFrame:
-        each = F.explode(F.array(*cols)).alias("__t")
-        w = F.regexp_extract_all(F.lower("__t"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)).alias("__w")
-        listed = df.select(*keep, each).select(*keep, w).where(F.size("__w") >= n)
-        at = listed.select(*keep, "__w", F.explode(F.sequence(F.lit(0), F.size("__w") - n)).alias("__at"))
-        return at.select(*keep, "__at", F.concat_ws(" ", F.slice("__w", F.col("__at") + 1, n)).alias("__g")).withColumn("__h", F.xxhash64("__g"))
+def _hashed(df: DataFrame, keep: list[str], text_cols: list[str], n: int) -> DataFrame:
+    """(keep, __at, __h, __g): the windows of each text by two hashes of 64 bits, so that no window is moved as text."""
+    each = F.explode(F.array(*text_cols)).alias("__t")
+    w = F.regexp_extract_all(F.lower("__t"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)).alias("__w")
+    listed = df.select(*keep, each).select(*keep, w).where(F.size("__w") >= n)
+    at = listed.select(*keep, "__w", F.explode(F.sequence(F.lit(0), F.size("__w") - n)).alias("__at"))
+    gram = F.concat_ws(" ", F.slice("__w", F.col("__at") + 1, n))
+    return at.select(*keep, "__at", F.xxhash64(gram).alias("__h"), F.xxhash64(F.lit(n), F.reverse(gram)).alias("__g"))
 
-    held = grams(held_out.select(F.col(item_col).alias("__item"), *held_cols), ["__item"], held_cols).select("__item", "__g", "__h").distinct()
-    own = grams(corpus.select(*key_cols, *text_cols), key_cols, text_cols)
-    return own.join(held, ["__h", "__g"]).groupBy(*key_cols, F.col("__item").alias(item_col)).agg(F.count("*").alias("windows"), F.min("__at").cast("long").alias("first_word"))
 
+def _meet(own: DataFrame, held: DataFrame) -> DataFrame:
+    """Windows of both sides with the same hashes; those of an n-gram that a large part of the corpus holds are spread over SALTS tasks."""
+    own = own.withColumn("__salt", F.pmod(F.xxhash64("__at", *[c for c in own.columns if c[:2] != "__"]), F.lit(SALTS)))
+    held = held.distinct().withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    return own.join(held, ["__h", "__g", "__salt"])
 
-def remove_leaks(corpus: DataFrame, text_col: str, held_out: DataFrame, held_cols: list[str], *, n: int = N, mask: str = " ") -> DataFrame:
+
+def _joined(corpus: DataFrame, key_cols: list[str], text_cols: list[str], held_out: DataFrame, item_col: str, held_cols: list[str], n: int) -> DataFrame:
+    """The same result for held-out sets of any size: windows of both sides meet in a shuffle by 128 bits of hash."""
+    held = _hashed(held_out.select(F.col(item_col).alias("item__"), *held_cols), ["item__"], held_cols, n).select("item__", "__h", "__g")
+    own = _hashed(corpus.select(*key_cols, *text_cols), key_cols, text_cols, n)
+    return _meet(own, held).groupBy(*key_cols, F.col("item__").alias(item_col)).agg(F.count("*").alias("windows"), F.min("__at").cast("long").alias("first_word"))
+
+
+def remove_leaks(corpus: DataFrame, text_col: str, held_out: DataFrame, held_cols: list[str], *, n: int = N, mask: str = " ", max_ngrams: int = MAX_NGRAMS) -> DataFrame:
     """``corpus`` with ``text_col`` freed of every span of ``n`` or more words that is in a held-out text; a
-    span goes from its first word's start to its last word's end and leaves ``mask``. Other columns,
-    order and texts without a leak stay as they are. The held-out set must be within the size for broadcast."""
-    size = _windows(held_out, held_cols, n)
-    if size > MAX_NGRAMS:
-        raise ValueError(f"{size} n-grams are too many to send to the workers")
-    rows = held_out.select(*held_cols).collect()
+    span goes from its first word's start to its last word's end and leaves ``mask``. Other columns
+    and texts without a leak stay as they are. A held-out set beyond ``max_ngrams`` is joined by hash instead of sent to the workers."""
+    if _windows(held_out, held_cols, n) > max_ngrams:
+        return _removed_by_join(corpus, text_col, held_out, held_cols, n, mask)
+    rows = held_out.select(*held_cols).collect()  # its n-grams were counted above
     grams = NgramSet([(0, r[c]) for r in rows for c in held_cols], n)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,6 +166,29 @@ def remove_leaks(corpus: DataFrame, text_col: str, held_out: DataFrame, held_col
     return spread(corpus).mapInArrow(clean, corpus.schema)
 
 
+def _removed_by_join(corpus: DataFrame, text_col: str, held_out: DataFrame, held_cols: list[str], n: int, mask: str) -> DataFrame:
+    """The places of the leaked windows are found once for each distinct text, by its hash, and joined to the rows that have
+    it, spread over SALTS tasks a text."""
+    name = F.sha2(F.col(text_col), 256)
+    texts = corpus.select(F.col(text_col).alias("text__")).where("text__ is not null").distinct().select(F.sha2("text__", 256).alias("sha__"), "text__")
+    held = _hashed(held_out.select(*held_cols), [], held_cols, n).select("__h", "__g")
+    places = _meet(_hashed(texts, ["sha__"], ["text__"], n), held).groupBy("sha__").agg(F.collect_set("__at").alias("__places"))  # at most one a word of the text
+    spread_over = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>"))
+    places = places.withColumn("__part", spread_over).withColumnRenamed("sha__", "__sha")
+    rows = corpus.withColumn("__sha", name).withColumn("__part", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+    joined = rows.join(places, ["__sha", "__part"], "left").select(*[F.col(f"`{c}`") for c in corpus.columns], "__places")
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(text_col)
+            texts, places_ = batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
+            cols = list(batch.columns[:-1])
+            cols[at] = pa.array([cut_spans(t, p, n, mask) if p else t for t, p in zip(texts, places_, strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names[:-1])
+
+    return joined.mapInArrow(clean, corpus.schema)
+
+
 def cut_spans(text: str, firsts: list[int], n: int, mask: str) -> str:
     """The text without the words first..first+n-1 of each window; words are counted in lower case, where
     a few letters become two, so their places are looked up letter by letter."""
