@@ -10,6 +10,7 @@ with it stand inside texts, counted over all texts; that is the only shuffle, on
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 from collections.abc import Iterator
@@ -81,6 +82,7 @@ TEMPLATES = tuple(
         "neg have lack act", "sorry act neg self", "sorry neg able",
     )
 )
+_WANTS = tuple(map(frozenset, TEMPLATES))
 REACH = 16
 #: Self and ability in one word, of languages without a pronoun.
 _SELF_ABLE = frozenset("puedo podría tengo dispongo lamento siento sé".split())
@@ -94,7 +96,7 @@ def clean(answer: str) -> str:
 
 
 def tokens(text: str) -> list[str]:
-    return [w.replace("’", "'") for w in WORD.findall(text.lower())]
+    return WORD.findall(text.lower().replace("’", "'"))
 
 
 def question_of(prompt: str) -> str:
@@ -127,18 +129,27 @@ def is_copy(prompt: list[str], answer: list[str]) -> bool:
     body = answer[:-1] if last_cut else answer
     if len(body) < LEAST_COPY or not known.issuperset(body):
         return False
-    have = {tuple(prompt[i : i + SHINGLE]) for i in range(len(prompt))}
+    again = prompt + prompt[: SHINGLE - 1] if len(body) > len(prompt) else prompt  # over the seam, where it is said more than once
+    have = {tuple(again[i : i + SHINGLE]) for i in range(len(prompt))}
     own = [tuple(body[i : i + SHINGLE]) for i in range(len(body) - SHINGLE + 1)]
     if sum(s in have for s in own) < CONTAINED * len(own):
         return False
     times = -(-len(body) // len(prompt)) + 1
-    return lcs(body, prompt * min(times, 8)) >= COVERED * min(len(body), 8 * len(prompt))
+    return lcs(body, prompt * times) >= COVERED * len(body)
 
 
-def without_echo(text: str, question: str) -> str:
+@functools.lru_cache(maxsize=20_000)
+def _asked(prompt: str) -> tuple[str, list[str], list[str], str | None]:
+    """Of a prompt: its question, the tokens of that and of all of it, and its language; kept, as prompts repeat themselves."""
+    text = clean(prompt)
+    question = question_of(text)
+    asks = tokens(question)
+    return question, asks, asks if question == text else tokens(text), language(question)
+
+
+def without_echo(text: str, want: list[str]) -> str:
     """The answer after a repetition of its question, if it starts with one; the text itself otherwise."""
     body = LABEL.sub("", text, count=1)
-    want = tokens(question)
     found = list(WORD.finditer(body))
     if want and len(found) > len(want) and [m.group().lower().replace("’", "'") for m in found[: len(want)]] == want:
         return body[found[len(want) - 1].end() :].lstrip(" ?:.!\"'”»\n\t-–—")
@@ -154,7 +165,10 @@ def is_refusal(text: str) -> bool:
         impersonal = re.match(r"(?i)\W*(?:it is|it's|it isn't|there is|es ist|il (?:est|n'est|m'est)|no es|no hay|das kann|dazu|diese frage|this (?:question|request)|that is|die frage|cette question|esta pregunta)", sentence)
         if not spoken and not impersonal:
             continue
-        for t in TEMPLATES:
+        present = frozenset().union(*classes)
+        for t, wants in zip(TEMPLATES, _WANTS, strict=True):
+            if not wants <= present:
+                continue
             if not spoken and "self" in t:
                 continue
             if not spoken and not (set(t) & {"q", "outside", "lack", "able"}):
@@ -221,16 +235,15 @@ def judge(prompt: str | None, answer: str | None) -> tuple[str | None, str | Non
     words = tokens(text)
     if not words or " ".join(re.findall(r"\w+", text.lower())) in PLACEHOLDERS:
         return "empty", None
-    prompt = clean(prompt) if prompt else ""
-    question = question_of(prompt)
-    if is_refusal(without_echo(text, question)):
+    _, asks, whole, asked = _asked(prompt or "")
+    said = without_echo(text, asks)
+    if is_refusal(said):
         return "refusal", None
     bare = tokens(LABEL.sub("", text, count=1))
-    if is_copy(tokens(question), bare) or is_copy(tokens(prompt), bare):
+    if is_copy(asks, bare) or whole is not asks and is_copy(whole, bare):
         return "copy", None
-    said = without_echo(text, question)
-    asked, told = language(question), language(said)
-    if asked and told and asked != told:
+    told = language(said) if asked else None
+    if told and asked != told:
         return "language", None
     if ends_open(said):
         return "truncated", None
