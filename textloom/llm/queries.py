@@ -73,6 +73,32 @@ def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return _pieces(spark, folder, False).select("item_type", "rec_id", "section_pos", "paragraph_pos", "piece_no", "overlap", "piece")
 
 
+@query(
+    "p1_rejoined",
+    """WITH sec AS (SELECT row_id, unnest(sections) AS x FROM papers), it AS (SELECT 'message' AS item_type, content AS t FROM messages UNION ALL SELECT 'section', array_to_string(list_filter(x.paragraphs, lambda p: p IS NOT NULL), chr(10) || chr(10)) FROM sec WHERE x IS NOT NULL
+    UNION ALL SELECT 'paragraph', unnest(x.paragraphs) FROM sec WHERE x IS NOT NULL)
+    SELECT item_type, count(*) AS items, CAST(sum(length(t)) AS BIGINT) AS characters, CAST(0 AS BIGINT) AS too_long, CAST(0 AS BIGINT) AS wrong_overlaps, CAST(0 AS BIGINT) AS unlike FROM it WHERE t IS NOT NULL GROUP BY item_type""",
+)
+def p1_rejoined(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each item type: items and characters that its pieces give without their overlaps, pieces above the limit, second and later
+    pieces whose overlap is not the one asked for, and items whose pieces put together are not the text."""
+    parts = []
+    for kind, df in _items(spark, folder).items():
+        size, overlap = limit_of(spark, folder, kind)
+        whole = df.withColumn("whole", F.xxhash64("text"))
+        rows = split.split_items(whole, "text", size, overlap)
+        own = F.substr("piece", F.col("overlap") + 1)
+        items = rows.groupBy("item_type", "rec_id", "section_pos", "paragraph_pos", "whole").agg(
+            F.array_sort(F.collect_list(F.struct("piece_no", own.alias("own")))).alias("pieces"),
+            F.count(F.when(F.length("piece") > size, 1)).alias("too_long"), F.count(F.when((F.col("piece_no") > 0) & (F.col("overlap") != overlap), 1)).alias("wrong"),
+        )  # one item's pieces
+        text = F.array_join(F.transform("pieces", lambda x: x["own"]), "")
+        parts.append(items.withColumn("joined", text).groupBy("item_type").agg(
+            F.count("*").alias("items"), F.sum(F.length("joined")).alias("characters"), F.sum("too_long").alias("too_long"), F.sum("wrong").alias("wrong_overlaps"), F.count(F.when(F.xxhash64("joined") != F.col("whole"), 1)).alias("unlike"),
+        ))
+    return reduce(DataFrame.unionByName, parts)
+
+
 # ---------------------------------------------------------------- 3: personal information
 
 
@@ -226,6 +252,22 @@ def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+_SIZES = "SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s\\p{Z}\\x1c-\\x1f\\x85]+')) AS BIGINT) AS n, max_size FROM documents, size_limits WHERE item_type = 'container'"
+
+
+@query("p7_placed", f"SELECT count(*) AS documents, CAST(sum(n) AS BIGINT) AS tokens, count(*) FILTER (n > max_size) AS divided, CAST(0 AS BIGINT) AS overfull, CAST(0 AS BIGINT) AS gaps, TRUE AS tight FROM ({_SIZES})")
+def p7_placed(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents and tokens placed, documents divided, containers above their capacity, documents whose parts leave a gap, and whether
+    the containers are at most two percent and one more than the tokens need."""
+    capacity, _ = limit_of(spark, folder, "container")
+    rows = _containers(spark, folder)
+    docs = rows.groupBy("doc_id").agg(F.count("*").alias("parts"), F.sum("n_tokens").alias("t"), F.max(F.col("first_token") + F.col("n_tokens")).alias("end"))
+    full = rows.where("n_tokens > 0").groupBy("container").agg(F.sum("n_tokens").alias("t")).agg(F.count("*").alias("containers"), F.count(F.when(F.col("t") > capacity, 1)).alias("overfull"))
+    sums = docs.agg(F.count("*").alias("documents"), F.sum("t").alias("tokens"), F.count(F.when(F.col("parts") > 1, 1)).alias("divided"), F.count(F.when(F.col("t") != F.col("end"), 1)).alias("gaps"))
+    tight = F.col("containers") <= F.ceil(F.col("tokens") / capacity) * 1.02 + 1
+    return sums.crossJoin(full).select("documents", "tokens", "divided", "overfull", "gaps", tight.alias("tight"))  # one row each
+
+
 # ---------------------------------------------------------------- 8: mixing sources
 
 
@@ -251,6 +293,12 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mix.shares(_selection(spark, folder), _targets(spark, folder))
 
 
+@query("p8_repeats", "SELECT source, FALSE AS too_often FROM source_targets WHERE source IS NOT NULL")
+def p8_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each source whether a text is used more often than it may be."""
+    return p8_shares(spark, folder).select("source", (F.col("most_uses") > F.col("max_repeats")).alias("too_often"))
+
+
 # ---------------------------------------------------------------- 9: abusive, hateful and sexual content
 
 
