@@ -16,6 +16,7 @@ import random
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -160,6 +161,7 @@ class _Types(dict):
 
 
 _TYPES = _Types()
+_FIRST, _SECOND = itemgetter(0), itemgetter(1)
 
 
 class Text:
@@ -169,9 +171,9 @@ class Text:
 
     def __init__(self, text: str, address_field: bool) -> None:
         self.tokens = tokenize(text)
-        found = [_TYPES[t] for t in self.tokens]
-        self.keys = [k for k, _ in found]
-        self.folded = [(i, w) for i, (_, w) in enumerate(found) if w]  # by the words they are joined by
+        found = list(map(_TYPES.__getitem__, self.tokens))
+        self.keys = list(map(_FIRST, found))
+        self.folded = [x for x in enumerate(map(_SECOND, found)) if x[1]]  # by the words they are joined by
         if address_field:
             self.keys = [k + "\x04" for k in self.keys]
 
