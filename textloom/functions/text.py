@@ -138,12 +138,12 @@ ASSIGNMENTS = {
 }
 
 
-def assignment(var: Column, value: Column, style: str, literal: Column) -> Column:
-    """A line that assigns a value to a variable, in one of four styles; ``literal`` tells whether it is a literal or another variable's name."""
+def assignment(var: Column, value: Column, style: str, literal: Column | None = None) -> Column:
+    """A line that assigns a value to a variable, in one of four styles; ``literal`` tells whether it is a literal, as without it, or another variable's name."""
     if style not in ASSIGNMENTS:
         raise ValueError(f"style must be one of {sorted(ASSIGNMENTS)}")
     of_literal, of_variable = ASSIGNMENTS[style]
-    return F.when(literal, F.format_string(of_literal, var, value)).otherwise(F.format_string(of_variable, var, value))
+    return F.when(F.lit(True) if literal is None else literal, F.format_string(of_literal, var, value)).otherwise(F.format_string(of_variable, var, value))
 
 
 def conversation_html(messages: Column | str) -> Column:

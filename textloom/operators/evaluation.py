@@ -90,6 +90,14 @@ def slice_means(df: DataFrame, by: list[list[str]], scores: list[str]) -> DataFr
     return rows.groupBy("__at.slice", "__at.key").agg(F.count("*").alias("n"), *[F.avg(s).alias(s) for s in scores])
 
 
+def grouping_means(df: DataFrame, sets: list[list[str]], scores: list[str]) -> DataFrame:
+    """Number of rows and means of the scores by each set of columns; columns outside a set are null and ``set_id`` tells the sets
+    apart as SQL's grouping_id does. Null keys form groups of their own."""
+    cols = list(dict.fromkeys(c for s in sets for c in s))
+    which = F.grouping_id(*cols).alias("set_id")
+    return df.groupingSets([[F.col(c) for c in s] for s in sets], *cols).agg(which, F.count("*").alias("n"), *[F.avg(s).alias(s) for s in scores])
+
+
 def first_of(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key; exact repeats of a key are cut to one."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from textloom.operators import nested
+
 
 def search(df: DataFrame, text: str, messages: str | None = None, system: str | None = None, metadata: str | None = None) -> DataFrame:
     """Rows that hold the text, whatever its case, in one of the named columns: an array of structs with content, a string, a
@@ -74,26 +76,30 @@ def is_conversation(json: Column | str) -> Column:
     return F.coalesce((F.size(items) > 0) & F.forall(items, lambda m: m["role"].isNotNull() & m["content"].isNotNull()), F.lit(False))
 
 
-def leaf_paths(df: DataFrame, key: str, json: str, depth: int = 12) -> DataFrame:
+def leaf_paths(df: DataFrame, key: str, json: str, depth: int | None = None) -> DataFrame:
     """(key, path, value) of every leaf of a JSON text, path segments joined by ``/``; a JSON null has the value None, true and false
-    are True and False. Values nested deeper than ``depth`` come out as JSON. Empty containers and unparsable texts have no leaves."""
-    level = df.select(key, F.lit("").alias("path"), F.try_parse_json(json).alias("v")).where("v is not null")
-    out = None
-    for d in range(depth + 1):
-        kind = F.schema_of_variant("v")
-        nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
-        rows = level.withColumn("nested", nested)
-        text = F.when(F.is_variant_null("v"), "None").otherwise(F.try_variant_get("v", "$", "string"))
-        text = F.when(kind == "BOOLEAN", F.initcap(text)).otherwise(text)
-        leaves = rows.where(~F.col("nested")).select(key, "path", text.alias("value"))
-        if d == depth:
-            leaves = rows.select(key, "path", F.when(F.col("nested"), F.to_json("v")).otherwise(text).alias("value"))
-        out = leaves if out is None else out.unionAll(leaves)
-        rows.createOrReplaceTempView("__textloom_level")
-        level = df.sparkSession.sql(
-            f"SELECT `{key}`, concat(path, if(path = '', '', '/'), coalesce(e.key, cast(e.pos as string))) AS path, e.value AS v FROM __textloom_level, LATERAL variant_explode(v) e WHERE nested"
-        )
-    return out
+    are True and False. Empty containers and unparsable texts have no leaves. Without ``depth`` the texts are read once for the depth of
+    their merged schema; with it, values nested deeper come out as JSON. The levels are opened one after the other in one stage."""
+    rows = df.select(key, F.lit("").alias("path"), F.try_parse_json(json).alias("v")).where("v is not null")
+    if depth is None:
+        deep = lambda n: max([0, *(1 + deep(c) for c in n.fields.values()), *([1 + deep(n.element)] if n.element else [])])
+        levels = deep(nested.infer(rows, "v"))
+    else:
+        levels = depth
+    step = "concat(path, if(path = '', '', '/'), {})"
+    kind = F.coalesce(F.schema_of_variant("v"), F.lit("VOID"))
+    for _ in range(levels):
+        rows = rows.withColumn("kind", kind).select(key, F.expr(f"""inline(case
+            when startswith(kind, 'OBJECT') then transform(map_entries(try_variant_get(v, '$', 'map<string,variant>')), e -> struct({step.format('e.key')} as path, e.value as v))
+            when startswith(kind, 'ARRAY') then transform(try_variant_get(v, '$', 'array<variant>'), (x, i) -> struct({step.format('i')} as path, x as v))
+            else array(struct(path, v)) end)"""))
+    rows = rows.withColumn("kind", kind)
+    text = F.when(F.col("v").isNull() | F.is_variant_null("v"), "None").otherwise(F.try_variant_get("v", "$", "string"))
+    text = F.when(F.col("kind") == "BOOLEAN", F.initcap(text)).otherwise(text)
+    inner = F.col("kind").startswith("OBJECT") | F.col("kind").startswith("ARRAY")
+    if depth is None:
+        return rows.where(~inner).select(key, "path", text.alias("value"))
+    return rows.select(key, "path", F.when(inner, F.to_json("v")).otherwise(text).alias("value"))
 
 
 def unflatten(pairs: list[tuple[str, object]], sep: str = ".") -> object:

@@ -62,11 +62,11 @@ def stitch(hits: DataFrame, query_key: str, key: str, text: str, separator: str
 MOST_QUERY_BYTES = 64 << 20  # of the query vectors that are sent to every executor at once
 
 
-def cosine_top_k(vectors: DataFrame, key: str, vector: str, queries: DataFrame, query_key: str, query_vector: str, k: int) -> DataFrame:
+def cosine_top_k(vectors: DataFrame, key: str, vector: str, queries: DataFrame, query_key: str, query_vector: str, k: int, block: int = 2_000) -> DataFrame:
     """(query, key, score, rank): exact cosine top-k of a stated query set against all rows.
 
     The query vectors are counted first and sent to the executors, in as many slices as their size asks for; the
-    corpus is scored where it lies, each task keeping ``k`` rows a query, and only these are ranked. Null vectors have no row, those without a length have similarity 0.
+    corpus is scored where it lies, ``block`` rows at a time, each task keeping ``k`` rows a query, and only these are ranked. Null vectors have no row, those without a length have similarity 0.
     """
     asked = queries.where(F.col(query_vector).isNotNull()).select(F.col(query_key).cast("long").alias("id"), F.col(query_vector).cast("array<float>").alias("v"))
     size = asked.agg(F.coalesce(F.sum(F.size("v").cast("long")), F.lit(0)).alias("n")).first()["n"] * 8
@@ -88,8 +88,8 @@ def cosine_top_k(vectors: DataFrame, key: str, vector: str, queries: DataFrame,
             qi, qm = sent.value
             ids = scores = None
             for pdf in batches:
-                if len(pdf):
-                    di, dm = matrix(pdf["id"], pdf["v"])
+                for at in range(0, len(pdf), block):
+                    di, dm = matrix(pdf["id"].iloc[at : at + block], pdf["v"].iloc[at : at + block])
                     s = np.round(qm @ dm.T, 6)
                     all_ids, all_s = np.broadcast_to(di, s.shape), s
                     if ids is not None:

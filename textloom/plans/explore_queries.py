@@ -32,8 +32,8 @@ def mean_scores_by_slice(spark, folder):
 
 @query("slice_grouping_sets", _E + "SELECT depth, file_level, grouping(depth, file_level) AS set_id, count(*) AS n, round(avg(score), 6) AS score FROM e GROUP BY GROUPING SETS ((depth), (file_level))")
 def slice_grouping_sets(spark, folder):
-    _events(spark, folder).createOrReplaceTempView("__textloom_events")
-    return spark.sql("SELECT depth, file_level, grouping_id(depth, file_level) AS set_id, count(*) AS n, round(avg(score), 6) AS score FROM __textloom_events GROUP BY GROUPING SETS ((depth), (file_level))")
+    rows = E.grouping_means(_events(spark, folder), [["depth"], ["file_level"]], ["score"])
+    return rows.withColumn("score", F.round("score", 6))
 
 
 @query("slice_over_time", _E + "SELECT step, depth AS slice, count(*) AS n, round(avg(score), 6) AS score FROM e GROUP BY step, depth")
@@ -151,7 +151,7 @@ def conversation_detect(spark, folder):
 @query("json_flatten_leaves", """SELECT pair_id, replace(replace(replace(t.fullkey, '$.', ''), '[', '/'), ']', '') AS path, CASE WHEN t.type = 'BOOLEAN' THEN CASE WHEN t.value::VARCHAR = 'true' THEN 'True' ELSE 'False' END WHEN t.type = 'NULL' THEN 'None' ELSE json_extract_string(t.value, '$') END AS value
 FROM qasper_pairs, json_tree(CASE WHEN json_valid(old_answer) THEN CAST(old_answer AS JSON) END) t WHERE t.type NOT IN ('OBJECT', 'ARRAY')""")
 def json_flatten_leaves(spark, folder):
-    return X.leaf_paths(table(spark, folder, "qasper_pairs", "pair_id", "old_answer"), "pair_id", "old_answer", depth=4)
+    return X.leaf_paths(table(spark, folder, "qasper_pairs", "pair_id", "old_answer"), "pair_id", "old_answer")
 
 
 @query("json_all_paths")
