@@ -31,7 +31,8 @@ KINDS = ("abusive", "hateful", "sexual")
 MAX_VOTERS = 14
 SAMPLE_DOCS = 20_000  # documents, about, whose passages train the classifier
 SAMPLE_PASSAGES = 200_000  # passages of them, about; of more, an equal share of all is drawn by hash
-QUIET_SHARE = 24  # of the sample's passages without a vote, one in so many trains the classifier
+NEAR_SHARE = 4  # of the sample's passages without a vote that hold a word on which a voter hangs, one in so many trains the classifier
+QUIET_SHARE = 24  # of those without such a word
 QUIET_WEIGHT = 0.6  # of a passage without a vote for the kind or against it, beside 1 of one with
 VOTE_VALUE = 3  # of a vote as a feature, beside 1 of a word
 CONTEXT = 80  # letters before and after what a voter for a kind found, where those against it look
@@ -195,7 +196,7 @@ VOTERS: dict[str, tuple[list[re.Pattern[str]], list[re.Pattern[str]]]] = {
         ),
         _votes(
             r"\b(?:dictionary|for centuries|welcome visitors|festival|cuisine|history of|language of|survey|census|museum|translated|speakers)\b",
-            r"\b(?:classifier|annotat\w+|guide(?:line)?s? (?:define|say)\w*|hate speech|detect\w*|held-out|label\w*|archive|cellar|rats and other)\b",
+            r"\b(?:classifier|annotat\w+|guide(?:line)?s? (?:define|say)\w*|hate speech|detect\w*|held-out|label\w*|archive|cellar|rats and other|mole rats?|rodents?|species|colon(?:y|ies)|underground|laborator(?:y|ies)|pest control)\b",
         ),
     ),
     "sexual": (
@@ -289,6 +290,7 @@ class Passages:
         goes_on = soft[stop - 1] & (self.text_of == np.append(self.text_of[1:], -1))  # into the next passage, over a line break
         near = np.zeros(self.count, bool)
         near[passage[code >> 21 & 1 > 0]] = True
+        self.near = near
         words = lambda p: [w for x in raw[self.start[p] : stop[p]] if x != "\x1e" and (w := undisguise(x))]
         for p in np.flatnonzero(near).tolist():
             own = words(p)
@@ -298,6 +300,10 @@ class Passages:
                 text, lead = " ".join(own), " ".join(before) + " " if before else ""
                 self.votes[p] = vote(text, lead + " ".join((text, *after)) if before or after else "", len(lead), could)
 
+    def sort(self) -> np.ndarray:
+        """Of each passage 1 if it has a vote of any kind, 2 if it has none but a word on which a voter hangs, else 0."""
+        return np.where(self.votes.any(axis=1), 1, np.where(self.near, 2, 0))
+
     @staticmethod
     def _tokens(text: str | None) -> list[str]:
         """The words of a text; a passage is a sentence's part in a line, and voters look over line breaks."""
@@ -451,8 +457,8 @@ def _with_votes(passage: np.ndarray, feature: np.ndarray, votes: np.ndarray, vot
 
 
 def _patterns(df: DataFrame, text: str) -> pd.DataFrame:
-    """(kind, pattern, n) over all documents; the number of rows is bounded by the voters. As kind 3 and pattern 0 or 1,
-    how many passages have no vote of any kind, and how many have one."""
+    """(kind, pattern, n) over all documents; the number of rows is bounded by the voters. As kind 3 and pattern 0, 1
+    or 2, how many passages have no vote of any kind, have one, and have none but hold a word on which a voter hangs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[tuple[int, int], int] = {}
@@ -463,8 +469,7 @@ def _patterns(df: DataFrame, text: str) -> pd.DataFrame:
                     values, n = np.unique(p.votes[:, k], return_counts=True)
                     for v, c in zip(values.tolist(), n.tolist(), strict=True):
                         total[k, v] = total.get((k, v), 0) + c
-                voted = int(p.votes.any(axis=1).sum())
-                for v, c in enumerate((p.count - voted, voted)):
+                for v, c in enumerate(np.bincount(p.sort(), minlength=3).tolist()):
                     total[3, v] = total.get((3, v), 0) + c
         yield pa.RecordBatch.from_pydict({"kind": [k for k, _ in total], "pattern": [v for _, v in total], "n": list(total.values())}, pa.schema([("kind", pa.int64()), ("pattern", pa.int64()), ("n", pa.int64())]))
 
@@ -474,11 +479,12 @@ def _patterns(df: DataFrame, text: str) -> pd.DataFrame:
 CHUNK = 1_000  # documents that are looked at together
 
 
-def _sample(df: DataFrame, key: str, text: str, sample_docs: int, passages: int, voted: int) -> list:
-    """Passages of a bounded sample of documents, by hash: all with votes and every QUIET_SHARE-th other one, or an equal
-    share of them where more than SAMPLE_PASSAGES are to be expected from the ``passages`` of all documents, ``voted`` of which have votes."""
+def _sample(df: DataFrame, key: str, text: str, sample_docs: int, passages: list[int]) -> list:
+    """Passages of a bounded sample of documents, by hash: all with votes, every NEAR_SHARE-th and every QUIET_SHARE-th other one, or an equal
+    share of them where more than SAMPLE_PASSAGES are to be expected from the numbers of ``passages`` of each sort in all documents."""
     docs = min(1.0, sample_docs / max(1, df.count()))
-    expected = docs * (voted + (passages - voted) / QUIET_SHARE)
+    shares = np.array([1 / QUIET_SHARE, 1.0, 1 / NEAR_SHARE])
+    expected = docs * float(shares @ passages)
     of_passages = min(1.0, SAMPLE_PASSAGES / max(1.0, expected))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -489,7 +495,7 @@ def _sample(df: DataFrame, key: str, text: str, sample_docs: int, passages: int,
                 # Each passage is drawn by its text's key and its place, so that what is said often is drawn more likely.
                 key_hash = np.asarray(batch.column(0)).astype(np.uint64)[p.text_of]
                 draw = (key_hash ^ (np.arange(p.count, dtype=np.uint64) - np.searchsorted(p.text_of, p.text_of).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(40)
-                share = np.where(p.votes.any(axis=1), 1.0, 1 / QUIET_SHARE) * of_passages
+                share = shares[p.sort()] * of_passages
                 passage, feature = p.features()
                 real = np.bincount(passage, minlength=p.count) > 0
                 take = np.flatnonzero(real & (draw < share * (1 << 24)))
@@ -503,14 +509,14 @@ def _sample(df: DataFrame, key: str, text: str, sample_docs: int, passages: int,
 
     hashed = df.select(F.xxhash64(key).alias("h"), text)
     chosen = hashed.where(F.pmod("h", F.lit(1 << 30)) < int(docs * (1 << 30)))  # drawn where the rows lie: no row is moved for it
-    return spread(chosen).mapInArrow(run, "features array<long>, votes array<long>").dropDuplicates(["features"]).collect()
+    return spread(chosen).mapInArrow(run, "features array<long>, votes array<long>").dropDuplicates(["features", "votes"]).collect()
 
 
 def train(df: DataFrame, key: str, text: str, sample_docs: int = SAMPLE_DOCS) -> tuple[list[LabelModel], list[Linear]]:
     """Label models from the vote patterns of all documents, classifiers from a bounded sample."""
     counts = _patterns(df, text)
     n_of = counts[counts["kind"] == 3].set_index("pattern")["n"]
-    rows = sorted(_sample(df, key, text, sample_docs, int(n_of.sum()), int(n_of.get(1, 0))), key=lambda r: r["features"])
+    rows = sorted(_sample(df, key, text, sample_docs, [int(n_of.get(v, 0)) for v in range(3)]), key=lambda r: r["features"])
     passage = np.repeat(np.arange(len(rows)), [len(r["features"]) for r in rows]) if rows else np.zeros(0, np.int64)
     feature = np.array([f for r in rows for f in r["features"]], np.int64)
     votes = np.array([r["votes"] for r in rows], np.int64).reshape(-1, 3)
